@@ -21,7 +21,7 @@ PUNCTUATION_TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in
 def bound_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
     """Arrow batches of at most so many rows and about so many bytes, so that long texts don't fill a worker."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
-        now = spark.conf.get(key, "0").removesuffix("b")
+        now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
