@@ -16,6 +16,7 @@ other columns are ignored; an empty table gives no rows.
 """
 
 import bisect
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +75,12 @@ class WordTokens:
         return ids
 
 
+@functools.lru_cache(maxsize=2)
+def word_tokens(path: str, end_id: int) -> WordTokens:
+    """One for all tasks that a worker runs, with what it knows."""
+    return WordTokens(path, end_id)
+
+
 class Packer:
     """Packs what add() is given into sequences; rows: the pieces of finished sequences."""
 
@@ -103,8 +110,8 @@ class Packer:
         """Full windows of one tier, from its own loose pieces and shorter ones."""
         found, shorter = [], max((t for t in self.tiers if t < tier), default=0)
         while self.loose and self.loose[-1][0] > shorter:
-            if sum(p[0] for p in self.loose[-8:]) < tier and sum(p[0] for p in self.loose) < tier:
-                break  # too little is left; it waits for the next batch
+            if self.loose[-1][0] > tier or sum(p[0] for p in self.loose[-8:]) < tier and sum(p[0] for p in self.loose) < tier:
+                break  # too little is left for this tier, or was for a longer one; it waits for the next batch
             window = [self.loose.pop()]
             gap = tier - window[0][0]
             while gap:
@@ -169,7 +176,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
     arrow = to_arrow_schema(schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer, end_id)
+        words = word_tokens(tokenizer, end_id)
         packer = Packer(tiers, step, TaskContext.get().partitionId() << 36)
 
         def out(least: int) -> Iterator[pa.RecordBatch]:
