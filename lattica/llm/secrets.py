@@ -280,6 +280,17 @@ def trained(lines: int = 1200, steps: int = 120, seed: int = 7) -> Field:
     return Field({f: weights[n] for f, n in names.items()}, w[size * 3 : -3].reshape(3, 3), w[-3:])
 
 
+_fields: dict[bytes, Field] = {}
+
+
+def kept_field(key: bytes, model: tuple) -> Field:
+    """One for all tasks that a worker runs, with the classes of tokens it knows."""
+    if key not in _fields:
+        _fields.clear()
+        _fields[key] = Field(*model)
+    return _fields[key]
+
+
 def text_spans(text: str | None, field: Field) -> list[tuple[int, int, str]]:
     """All spans of a text by start, then kind as listed: the base ones, and those of the field that touch none of them."""
     if not text:
@@ -299,11 +310,12 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     bound_batches(docs.sparkSession)
     field = trained()
     model = (field.weights, field.moves, field.begin)
+    key = field.moves.tobytes() + field.begin.tobytes()
     schema = StructType([*docs.schema.fields, StructField("secret_spans", SPANS)])
     kind = to_arrow_schema(schema).field("secret_spans").type
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = Field(*model)
+        here = kept_field(key, model)
         for batch in batches:
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in text_spans(t, here)] for t in batch.column(names.index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*names, "secret_spans"])

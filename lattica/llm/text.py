@@ -1,5 +1,6 @@
 """What several operators share: bounded Arrow batches, word hashes, and a place that driver and executors share."""
 
+import functools
 import uuid
 
 import numpy as np
@@ -66,7 +67,9 @@ def word_hashes(words: list[bytes], cache: Cache) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+@functools.lru_cache(maxsize=1)
 def hash_cache() -> Cache:
+    """Hashes of words, one cache for all tasks that a worker runs."""
     return Cache(xxhash.xxh3_64_intdigest)
 
 
