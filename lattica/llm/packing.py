@@ -17,7 +17,10 @@ other columns are ignored; an empty table gives no rows.
 
 import bisect
 import functools
+import os
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +37,17 @@ TIERS = (512, 1024, 2048, 4096)
 STEP = 16
 
 
+#: Byte-level vocabularies write bytes that have no visible sign of their own as the signs from U+0100 on.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)).difference(VISIBLE)))}
+
+
 class WordTokens:
     """Token ids of texts. White space always ends a token of the vocabularies this is used with, so the parts between
     spaces are encoded alone, and those that recur are encoded once."""
 
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,30 +58,55 @@ class WordTokens:
         a, b, c, d = (e.ids for e in self.tokenizer.encode_batch(sample, add_special_tokens=False))
         self.lowers = a == b
         assert c == b + d, "this vocabulary joins words and punctuation"
+        self.code, self.most = "H" if self.kind.itemsize == 2 else "I", 2 * CACHED_WORDS
+        self.model = self.tokenizer.model
+        sample = ["ab", "straße", "ciónñga", "être", "ж", "thatwhwhthonion"]
+        self.direct = [self._letters(w) for w in sample] == [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch(sample, add_special_tokens=False)]
+        self.tails = {y: np.array(self.tokenizer.encode(y, add_special_tokens=False).ids, self.kind).tobytes() for y in ("", ".", ",")}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         known = self.known
         parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*parts).difference(known)
+        found = [list(map(known.get, p)) for p in parts]
+        gaps = [[i for i, v in enumerate(f) if v is None] if None in f else [] for f in found]
+        new = self._new({p[i] for p, g in zip(parts, gaps) for i in g})
+        for p, f, g in zip(parts, found, gaps):
+            for i in g:
+                f[i] = new[p[i]]
+            f.append(self.end)
+        if len(known) < self.most:
+            known.update((w, v) for w, v in new.items() if len(w) <= CACHED_LENGTH)
+        return [np.frombuffer(b"".join(f), self.kind) for f in found]
+
+    def _letters(self, word: str) -> bytes:
+        """The ids of a lower-case word of letters, which normalizer and pre-tokenizer would leave as it is."""
+        return array(self.code, [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that are not known."""
         # a letter word's last full stop or comma is a token of its own, and the vocabulary knows lower case only
-        cut = {w: (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, "") for w in new}
-        cut = {w: (x.lower() if x.isalpha() and x.isascii() else x, y) for w, (x, y) in cut.items()} if self.lowers else cut
-        bare = list({x for pair in cut.values() for x in pair}.difference(known))
-        for at in range(0, len(bare), 4096):
-            for word, e in zip(bare[at : at + 4096], self.tokenizer.encode_batch_fast(bare[at : at + 4096], add_special_tokens=False)):
-                known[word] = np.array(e.ids, self.kind).tobytes()
-        for word, (x, y) in cut.items():
-            known[word] = known[x] + known[y]
-        new.update(bare)
-        ids = [np.frombuffer(b"".join([*map(known.__getitem__, p), self.end]), self.kind) for p in parts]
-        if len(known) > 2 * CACHED_WORDS:
-            for word in new:
-                del known[word]
-        else:
-            for word in new:
-                if len(word) > CACHED_LENGTH:
-                    del known[word]
-        return ids
+        bare, cut = {}, {}
+        for w in words:
+            x, y = (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, "")
+            if self.lowers and x.isascii() and x.isalpha():
+                x = x.lower()
+            if y or x != w:
+                cut[w] = x, y
+            if x not in self.known and x not in bare:
+                if self.direct and x.islower() and x.isalpha() and is_normalized("NFC", x):
+                    bare[x] = self._letters(x)
+                else:
+                    bare[x] = None
+        names = [x for x, v in bare.items() if v is None]
+        for at in range(0, len(names), 4096):
+            for word, e in zip(names[at : at + 4096], self.tokenizer.encode_batch_fast(names[at : at + 4096], add_special_tokens=False)):
+                bare[word] = array(self.code, e.ids).tobytes()
+        get = lambda x: bare[x] if x in bare else self.known[x]
+        bare.update({w: get(x) + self.tails[y] for w, (x, y) in cut.items()})
+        for w in words:
+            if w not in bare:
+                bare[w] = self.known[w]
+        return bare
 
 
 @functools.lru_cache(maxsize=2)
