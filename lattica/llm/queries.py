@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, packing, secrets, toxicity
+from . import chat, decontamination, licenses, ngram_join, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,7 +48,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_secret_scans, op5_benchmark_decontamination, op7_chat_formatting, op8_toxicity, op10_license_scans)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_packing, op3_secret_scans, op5_benchmark_decontamination, op7_chat_formatting, op8_toxicity, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
