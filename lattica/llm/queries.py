@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, ngram_join, packing, secrets, toxicity
+from . import ann, chat, decontamination, licenses, ngram_join, packing, secrets, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,18 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(_table(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(_table(spark, sf_dir, "conversations"))
 
@@ -43,13 +51,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.round("severity", 6).alias("severity"), "severity_grade", "toxic_rejected")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_of_table(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_packing, op3_secret_scans, op5_benchmark_decontamination, op7_chat_formatting, op8_toxicity, op10_license_scans)}
+    found = [op1_ngram_jaccard_join, op2_packing, op3_secret_scans, op4_warc, op5_benchmark_decontamination, op6_sharding, op7_chat_formatting, op8_toxicity, op9_nearest_neighbours, op10_license_scans]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": chat.duckdb_sql(), "op10_license_scans": licenses.duckdb_sql()}
+    return {"op4_warc": warc.duckdb_sql(), "op7_chat_formatting": chat.duckdb_sql(), "op10_license_scans": licenses.duckdb_sql()}
