@@ -39,7 +39,8 @@ CHUNK, FRAGMENT = 256, 8192
 #: Distinct sets a task remembers so that copies in its partition emit nothing twice.
 SEEN = 200_000
 
-SALT = mix(np.arange(1, 33, dtype=np.uint64) * K3)
+#: Random odd factors: the sums of two n-grams' word hashes, which are random themselves, are equal by chance alone.
+ODD = mix(np.arange(1, 33, dtype=np.uint64) * K3) | np.uint64(1)
 
 
 def ngrams(text: str | None, n: int) -> np.ndarray:
@@ -52,7 +53,7 @@ def ngrams(text: str | None, n: int) -> np.ndarray:
     k = min(n, len(h))
     total = np.full(len(h) - k + 1, np.uint64(k * int(K4) % 2**64))
     for i in range(k):
-        total += mix(h[i : i + len(total)] + SALT[i % 32]) * np.uint64(2 * i + 1)
+        total += h[i : i + len(total)] * ODD[i % 32]
     return np.unique(mix(total))
 
 
