@@ -28,7 +28,8 @@ MASKS = ("111111", "11011011", "1110010111")
 #: A document holds an item if so much of the item's words agree where it lies, or so many words in a row of RUN.
 COVERED, RUN, RUN_COVERED = 0.6, 20, 0.8
 
-SALTS = mix(np.arange(1, 65, dtype=np.uint64) * K1)
+#: Random odd factors for the places of a window.
+ODD = mix(np.arange(1, 65, dtype=np.uint64) * K1) | np.uint64(1)
 
 
 def masked(h: np.ndarray, mask: str, number: int) -> np.ndarray:
@@ -39,7 +40,7 @@ def masked(h: np.ndarray, mask: str, number: int) -> np.ndarray:
     total = np.full(n, np.uint64((number + 1) * int(K2) % 2**64))
     for k, on in enumerate(mask):
         if on == "1":
-            total += mix(h[k : k + n] + SALTS[k])
+            total += h[k : k + n] * ODD[k]
     return mix(total)
 
 
