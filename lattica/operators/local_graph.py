@@ -1,0 +1,124 @@
+"""The recursive operators for graphs that fit into one task: plain linear-time algorithms over rows.
+
+graph.py counts the edges first and comes here only up to its limit; beyond it the same operators run as joins. Each
+function gets the rows of one table (kind, a, b, v): edges are kind 0, other kinds are the operator's second input.
+"""
+
+from collections import defaultdict, deque
+from collections.abc import Iterable
+
+Row = tuple
+
+
+def split(rows: Iterable[Row]) -> tuple[list[Row], list[Row]]:
+    edges, rest = [], []
+    for r in rows:
+        (rest if r[0] else edges).append(r)
+    return edges, rest
+
+
+def outgoing(edges: list[Row]) -> dict:
+    out: dict = defaultdict(set)
+    for _, a, b, _ in edges:
+        out[a].add(b)
+    return out
+
+
+def reachable(rows: list[Row]) -> list[Row]:
+    edges, seeds = split(rows)
+    out, seen = outgoing(edges), {s[1] for s in seeds}
+    todo = deque(seen)
+    while todo:
+        new = out.get(todo.popleft(), set()) - seen
+        seen |= new
+        todo.extend(new)
+    return [(n,) for n in seen]
+
+
+def scc(rows: list[Row]) -> list[Row]:
+    """Path-based search without recursion: a stack of open nodes and one of the boundaries between open components."""
+    edges, _ = split(rows)
+    out, order, closed = outgoing(edges), {}, set()
+    found = []
+    for start in list(out):
+        if start in order:
+            continue
+        order[start] = len(order)
+        open_, bounds, todo = [start], [start], [(start, iter(out[start]))]
+        while todo:
+            node, rest = todo[-1]
+            nxt = next(rest, None)
+            if nxt is None:
+                todo.pop()
+                if bounds[-1] == node:
+                    bounds.pop()
+                    at = len(open_) - 1
+                    while open_[at] != node:
+                        at -= 1
+                    part, open_ = open_[at:], open_[:at]
+                    closed.update(part)
+                    if len(part) > 1 or node in out.get(node, ()):
+                        least = min(part)
+                        found += [(n, least) for n in part]
+            elif nxt not in order:
+                order[nxt] = len(order)
+                open_.append(nxt), bounds.append(nxt)
+                todo.append((nxt, iter(out.get(nxt, ()))))
+            elif nxt not in closed:
+                while order[bounds[-1]] > order[nxt]:
+                    bounds.pop()
+    return found
+
+
+def set_fixpoint(rows: list[Row]) -> list[Row]:
+    edges, base = split(rows)
+    callers = outgoing([(0, b, a, None) for _, a, b, _ in edges])
+    held: dict = defaultdict(set)
+    todo = deque((r[1], r[3]) for r in base)
+    while todo:
+        node, value = todo.popleft()
+        if value not in held[node]:
+            held[node].add(value)
+            todo.extend((c, value) for c in callers.get(node, ()))
+    return [(n, v) for n, values in held.items() for v in values]
+
+
+def mask_fixpoint(rows: list[Row]) -> list[Row]:
+    edges, base = split(rows)
+    callers = outgoing([(0, b, a, None) for _, a, b, _ in edges])
+    mask: dict = {n: 0 for r in edges for n in r[1:3]}
+    for r in base:
+        mask[r[1]] = mask.get(r[1], 0) | (r[3] or 0)
+    todo = deque(n for n, m in mask.items() if m)
+    while todo:
+        node = todo.popleft()
+        for c in callers.get(node, ()):
+            if mask[c] | mask[node] != mask[c]:
+                mask[c] |= mask[node]
+                todo.append(c)
+    return list(mask.items())
+
+
+def cycle_witness(rows: list[Row]) -> list[Row]:
+    edges, members = split(rows)
+    component = {r[1]: r[2] for r in members}
+    out: dict = defaultdict(set)
+    for _, a, b, _ in edges:
+        if a in component and component[a] == component.get(b):
+            out[a].add(b)
+    found = []
+    for start in set(component.values()):
+        level, seen = {start: [start]}, {start}
+        while level:
+            ahead: dict = {}
+            for node, path in level.items():
+                for b in out[node]:
+                    new = [*path, b]
+                    if b not in ahead or new < ahead[b]:
+                        ahead[b] = new
+            if start in ahead:
+                found.append((start, ahead[start]))
+                break
+            level = {n: p for n, p in ahead.items() if n not in seen}
+            seen |= level.keys()
+    return found
