@@ -35,7 +35,7 @@ from .text import K1, K2, K3, K4, S32, bound_batches, hash_cache, mix, word_hash
 #: Fragments with fewer n-grams give no signature.
 LEAST = 2
 #: Sets of a tile's side, and n-grams of a fragment that is counted at once.
-CHUNK, FRAGMENT = 256, 8192
+CHUNK, FRAGMENT = 256, 2048
 #: Distinct sets a task remembers so that copies in its partition emit nothing twice.
 SEEN = 200_000
 

@@ -16,7 +16,6 @@ other columns are ignored; an empty table gives no rows.
 """
 
 import bisect
-import functools
 import os
 from array import array
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .text import CACHED_LENGTH, CACHED_WORDS, bound_batches
+from .text import CACHED_LENGTH, CACHED_WORDS, bound_batches, kept
 
 TIERS = (512, 1024, 2048, 4096)
 #: Sequences of the longest size that a step group holds.
@@ -109,10 +108,9 @@ class WordTokens:
         return bare
 
 
-@functools.lru_cache(maxsize=2)
 def word_tokens(path: str, end_id: int) -> WordTokens:
     """One for all tasks that a worker runs, with what it knows."""
-    return WordTokens(path, end_id)
+    return kept("tokens", (path, end_id), lambda: WordTokens(path, end_id))
 
 
 class Packer:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .text import Cache, bound_batches
+from .text import Cache, bound_batches, kept
 
 KINDS = ("assign", "access", "hex", "crf")
 # The patterns of the base kinds. The second group of assign has 6 characters or more; the letters before it
@@ -280,15 +280,9 @@ def trained(lines: int = 1200, steps: int = 120, seed: int = 7) -> Field:
     return Field({f: weights[n] for f, n in names.items()}, w[size * 3 : -3].reshape(3, 3), w[-3:])
 
 
-_fields: dict[bytes, Field] = {}
-
-
 def kept_field(key: bytes, model: tuple) -> Field:
     """One for all tasks that a worker runs, with the classes of tokens it knows."""
-    if key not in _fields:
-        _fields.clear()
-        _fields[key] = Field(*model)
-    return _fields[key]
+    return kept("field", key, lambda: Field(*model))
 
 
 def text_spans(text: str | None, field: Field) -> list[tuple[int, int, str]]:

@@ -1,11 +1,12 @@
 """What several operators share: bounded Arrow batches, word hashes, and a place that driver and executors share."""
 
-import functools
-import uuid
+import gc
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..storage import shared_folder, written  # noqa: F401
 
 #: Words whose values a worker keeps. Words come with a long tail, and the first many thousand cover most of a text.
 CACHED_WORDS = 300_000
@@ -27,22 +28,6 @@ def bound_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder's URI under spark.checkpoint.dir, which all executors share; that is set only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written as a table in the shared folder and read again: cuts the lineage, survives a lost executor."""
-    spark, to = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
-
-
 class Cache(dict):
     """word -> of(word), for at most CACHED_WORDS words."""
 
@@ -67,10 +52,22 @@ def word_hashes(words: list[bytes], cache: Cache) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-@functools.lru_cache(maxsize=1)
+#: What a worker keeps between tasks, by its kind; one kind at a time, so stages of a pipeline don't add up.
+_kept: dict[str, tuple] = {}
+
+
+def kept(kind: str, key, make):
+    """make()'s value for all tasks of this kind that a worker runs with this key; what other kinds kept is let go."""
+    if kind not in _kept or _kept[kind][0] != key:
+        _kept.clear()
+        gc.collect()
+        _kept[kind] = key, make()
+    return _kept[kind][1]
+
+
 def hash_cache() -> Cache:
-    """Hashes of words, one cache for all tasks that a worker runs."""
-    return Cache(xxhash.xxh3_64_intdigest)
+    """Hashes of words."""
+    return kept("hashes", None, lambda: Cache(xxhash.xxh3_64_intdigest))
 
 
 def plain_words(text: str) -> list[bytes]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .text import Cache, bound_batches, plain_words
+from .text import Cache, bound_batches, kept, plain_words
 
 BUCKETS = 1 << 18
 GRADES = 3
@@ -56,7 +56,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> lis
     arrow = to_arrow_schema(schema)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(word_buckets)
+        cache = kept("buckets", None, lambda: Cache(word_buckets))
         for b in batches:
             rows = [buckets_of(plain_words(t or ""), cache) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(rows, arrow.field("x").type)], schema=arrow)
@@ -133,10 +133,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000,
     model = fit(labelled_sample(docs, labels, sample_rows))
     new = StructType([StructField("severity", DoubleType()), StructField("severity_grade", IntegerType())])
     schema = StructType([*docs.schema.fields, *new.fields])
+    key = hash((tuple(model.weights.items()), tuple(model.cuts)))
     names, at = [f.name for f in schema.fields], docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted = Cache(lambda word: tuple((k, model.weights[k]) for k in word_buckets(word) if k in model.weights))
+        weighted = kept("weights", key, lambda: Cache(lambda word: tuple((k, model.weights[k]) for k in word_buckets(word) if k in model.weights)))
         for b in batches:
             scores = []
             for t in b.column(at).to_pylist():
