@@ -5,15 +5,20 @@ The global order of n-grams is the order of their hashes. It is cut into fragmen
 1. To find candidates. If two sets differ in at most d n-grams and the order is cut into more than d fragments, some
    fragment holds the same n-grams of both. Sizes are dealt to classes such that linked sets lie in one class or in
    neighbouring ones; a class fixes d, and so the number of fragments. Each set emits a signature for each of its fragments
-   (a hash of all n-grams in it), once for its class and once for the class below. Fragments of fewer than LEAST n-grams
-   say little and are left out; slack fragments make up for them. A set that leaves out more than the slack, and sets of
-   small classes, also (or only) emit their first d + 1 n-grams, of which linked sets share one. So no link is lost, and no
-   statistics or thresholds depend on the data.
-2. To count. Sets that are tied by signatures form clusters. A cluster's sets are dealt by size to chunks of CHUNK, and pairs
-   of chunks whose sizes can link are tiles. For each tile and fragment a task counts the partial overlaps of all pairs as
-   one matrix product; the matrices of a tile's fragments are then summed, pair by pair, and every sum is compared with the
-   threshold exactly. What leaves a tile is a row for each set (its number of links and the root of its links in the tile),
-   not a row for each pair.
+   (a hash of all n-grams in it), once for its class and once for the class below. Empty fragments say nothing and are left
+   out; slack fragments make up for them. A set that leaves out more than the slack, and sets of small classes, also (or
+   only) emit their first d + 1 n-grams, of which linked sets share one. So no link is lost, and no statistics or
+   thresholds depend on the data.
+2. To drop chance candidates. Sets that share a passage may share a signature. The order is cut once more, evenly into
+   about half as many parts as a set has n-grams, and the numbers of n-grams in the parts are kept. The sum of their
+   differences is at most what two sets differ by, so a pair with a larger sum can't link. Blocks of up to SMALL sets with
+   one signature give all their pairs; in larger ones sets are joined breadth first, each being compared only with those
+   not joined yet, so a group of near copies costs about as many comparisons as it has members.
+3. To count. Sets that candidates tie together form clusters. A cluster's sets are dealt by size to chunks of CHUNK, and
+   pairs of chunks whose sizes can link are tiles. For each tile and fragment a task counts the partial overlaps of all
+   pairs as one matrix product; the matrices of a tile's fragments are then summed, pair by pair, and every sum is compared
+   with the threshold exactly. What leaves a tile is a row for each set (its number of links and the root of its links in
+   the tile), not a row for each pair.
 
 Equal sets are one class with one representative throughout; copies never meet as pairs. Links between classes are joined
 to components. Every intermediate table is written to the shared folder.
@@ -32,8 +37,9 @@ from pyspark.sql import functions as F
 from .graph import components
 from .text import K1, K2, K3, K4, S32, bound_batches, hash_cache, mix, word_hashes, written
 
-#: Fragments with fewer n-grams give no signature.
-LEAST = 2
+#: Sets of a block that are compared pair by pair, and sets up to which a block is searched at all; larger ones are tied
+#: together as they are, which costs comparisons later but loses nothing.
+SMALL, SEARCHED = 6, 8192
 #: Sets of a tile's side, and n-grams of a fragment that is counted at once.
 CHUNK, FRAGMENT = 256, 2048
 #: Distinct sets a task remembers so that copies in its partition emit nothing twice.
@@ -81,7 +87,7 @@ class Classes:
         for slack in (s for r in (0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7, 1) for s in (math.ceil(r * (d + 1)) + 1,)):
             m = d + 1 + slack
             mean = self.starts[cls] / m
-            p = math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(LEAST))
+            p = math.exp(-mean)
             if m * p + 3.5 * math.sqrt(m * p) <= slack:
                 break
         return d, m, slack
@@ -98,10 +104,8 @@ class Classes:
             if m:
                 part = ((x >> S32) * np.uint64(m)) >> S32
                 begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                kept = np.diff(np.r_[begin, len(x)]) >= LEAST
-                left_out = m - int(kept.sum())
-                sums = np.add.reduceat(mix(x + K2), begin)[kept]
-                found.append(mix(sums + salt + mix(part[begin][kept] + K3)))
+                left_out = m - len(begin)
+                found.append(mix(np.add.reduceat(mix(x + K2), begin) + salt + mix(part[begin] + K3)))
             if left_out > slack:
                 found.append(mix(x[: d + 1] + salt + K4))
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
@@ -112,16 +116,41 @@ def _keys(x: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63
 
 
+def counts_by_part(x: np.ndarray) -> np.ndarray:
+    """How many n-grams lie in each of 2^k even parts of the order, 2^k being from a quarter to half of the set's size; at
+    most 255 are told, which only lessens differences."""
+    k = max(0, len(x).bit_length() - 2)
+    return np.minimum(np.bincount((x >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(x), np.int64), minlength=1 << k), 255).astype(np.uint8)
+
+
+def folded(parts: np.ndarray, size: int) -> np.ndarray:
+    """Counts in fewer, larger parts; a sum that was cut off at 255 stays a lower bound only if it is not used, so sets
+    whose parts are that full are never folded."""
+    return parts.astype(np.int32).reshape(size, -1).sum(1)
+
+
+def may_link(a: bytes, n_a: int, b: bytes, n_b: int, num: int, den: int) -> bool:
+    """Whether the counts by part allow den * intersection >= num * union."""
+    if min(n_a, n_b) * den < max(n_a, n_b) * num:
+        return False
+    p, q = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if max(p.max(), q.max()) == 255:
+        return True
+    size = min(len(p), len(q))
+    apart = int(np.abs(folded(p, size) - folded(q, size)).sum())
+    return apart * (den + num) <= (n_a + n_b) * (den - num)
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and the two halves of a hash of the set."""
+    """doc_id, n_shingles, the two halves of a hash of the set, and the counts by part."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [ngrams(t, n) for t in b.column(1).to_pylist()]
             keys = [_keys(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", "n_shingles", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([k[h] for k in keys], pa.int64()) for h in (0, 1)), pa.array([counts_by_part(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "parts"])
 
-    return docs.mapInArrow(of, "doc_id long, n_shingles long, k1 long, k2 long")
+    return docs.mapInArrow(of, "doc_id long, n_shingles long, k1 long, k2 long, parts binary")
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -149,6 +178,112 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(of, "sig long, doc_id long")
 
 
+BLOCKS = "kind int, a long, b long"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (sig, doc_id), sorted, of signatures that several sets have. kind 0: a pair (a, b) of a small block; kind
+    1: set b of the block a; kind 2: sets a and b are neighbours in a block that is not searched."""
+    tail_sig, tail_doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def out(sig: np.ndarray, doc: np.ndarray) -> pa.RecordBatch | None:
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])] if len(sig) else np.zeros(0, bool)
+        sig, doc = sig[fresh], doc[fresh]
+        if not len(sig):
+            return None
+        begin = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        size = np.diff(np.r_[begin, len(sig)])
+        parts = []
+        for m in range(2, SMALL + 1):
+            at = begin[size == m]
+            parts += [(np.zeros(len(at), np.int32), doc[at + i], doc[at + j]) for i in range(m) for j in range(i + 1, m)]
+        of = np.repeat(size, size)
+        large = (of > SMALL) & (of <= SEARCHED)
+        parts.append((np.ones(int(large.sum()), np.int32), sig[large], doc[large]))
+        huge = np.flatnonzero((of[1:] > SEARCHED) & (sig[1:] == sig[:-1]))
+        parts.append((np.full(len(huge), 2, np.int32), doc[huge], doc[huge + 1]))
+        kind, a, b = (np.concatenate(x) for x in zip(*parts))
+        if not len(kind):
+            return None
+        rows = np.unique(np.stack([kind.astype(np.int64), a, b]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), pa.array(rows[1]), pa.array(rows[2])], names=["kind", "a", "b"])
+
+    for batch in batches:
+        sig = np.concatenate([tail_sig, batch.column(0).to_numpy()])
+        doc = np.concatenate([tail_doc, batch.column(1).to_numpy()])
+        if not len(sig):
+            continue
+        cut = int(np.searchsorted(sig, sig[-1]))
+        if len(sig) - cut > 16 * SEARCHED:
+            cut = len(sig) - 2 * SEARCHED  # of a block that is not searched, all but a tail that shows its size
+        if cut < 50_000 and len(sig) - cut < 50_000:
+            cut = 0  # gather more rows first
+        if cut and (b := out(sig[: cut + (sig[cut] == sig[cut - 1])], doc[: cut + (sig[cut] == sig[cut - 1])])):
+            yield b
+        tail_sig, tail_doc = sig[cut:], doc[cut:]
+    if b := out(tail_sig, tail_doc):
+        yield b
+
+
+TIES = "u long, v long"
+
+
+def _may_link_pairs(num: int, den: int):
+    """Keeps the pairs (rows a, b, parts and sizes of both) that may link."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v, pu, nu, pv, nv = (c.to_pylist() for c in b.columns)
+            keep = pa.array([may_link(*x, num, den) for x in zip(pu, nu, pv, nv)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
+
+    return of
+
+
+def _search_blocks(num: int, den: int):
+    """Ties of each block (rows: block, doc_id, n, parts, sorted by block and n): a forest that joins all its sets that may
+    link, directly or through others."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for _, rows in _groups(batches, 1):
+            out += forest([r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows], num, den)
+            if len(out) > 20_000:
+                yield _batch(out, ["u", "v"], TIES)
+                out = []
+        if out:
+            yield _batch(out, ["u", "v"], TIES)
+
+    return of
+
+
+def forest(docs: list[int], sizes: np.ndarray, parts: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Breadth first over sets in the order of their sizes; counts are compared in as many parts as the smallest has."""
+    size = min(map(len, parts))
+    while size > 1 and len(docs) * size > 1 << 22:  # a bound for the table's memory; fewer parts only let more pairs pass
+        size //= 2
+    full = np.array([max(p) == 255 for p in parts])
+    table = np.stack([folded(np.frombuffer(p, np.uint8), size) for p in parts])
+    left, found = np.ones(len(docs), bool), []
+    for start in range(len(docs)):
+        if not left[start]:
+            continue
+        left[start] = False
+        todo = [start]
+        while todo:
+            k = todo.pop()
+            others = np.flatnonzero(left)
+            others = others[(sizes[others] * num <= sizes[k] * den) & (sizes[k] * num <= sizes[others] * den)]
+            if not len(others):
+                continue
+            apart = np.abs(table[others] - table[k]).sum(1)
+            near = others[(apart * (den + num) <= (sizes[others] + sizes[k]) * (den - num)) | full[others] | full[k]]
+            left[near] = False
+            todo += near.tolist()
+            found += [(docs[k], docs[j]) for j in near]
+    return found
+
+
 def partial_overlaps(rows: list[np.ndarray], cols: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the intersections of each of rows with each of cols (of rows, if None), as one product of bit matrices
     over the n-grams that occur more than once."""
@@ -298,11 +433,23 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     key = ["k1", "k2"]
     classes = written(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")))
 
-    # candidates: in each block of equal signatures all are tied to the smallest id, which a running minimum knows
-    running = Window.partitionBy("sig").orderBy("doc_id")
-    tied = _signatures(texts, n, num, den).select("doc_id", F.min("doc_id").over(running).alias("least")).where("doc_id <> least").distinct()
-    copies = sets.join(classes.where("copies > 1"), key).where("doc_id <> rep")
-    clusters = components(tied.select(F.col("doc_id").alias("u"), F.col("least").alias("v")).union(copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
+    # candidates: only signatures that several sets have go on
+    by_sig = Window.partitionBy("sig").orderBy("doc_id")
+    shared = _signatures(texts, n, num, den).withColumn("_a", F.lag("doc_id").over(by_sig)).withColumn("_z", F.lead("doc_id").over(by_sig)).where("_a IS NOT NULL OR _z IS NOT NULL").select("sig", "doc_id")
+    blocks = written(shared.mapInArrow(_blocks, BLOCKS))
+    about = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("_texts"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts"))
+    # an id with several texts has no one set, so its pairs are candidates as they are
+    one, many = about.where("_texts = 1"), about.where("_texts > 1").select("doc_id")
+    left, right = (one.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("parts").alias(f"parts_{x}")) for x in "ab")
+    pairs = blocks.where("kind = 0").select("a", "b").distinct()
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", "parts_a", "n_a", "parts_b", "n_b").mapInArrow(_may_link_pairs(num, den), TIES)
+    large = blocks.where("kind = 1").select(F.col("a").alias("block"), F.col("b").alias("doc_id"))
+    searched = large.join(one, "doc_id").select("block", "doc_id", "n", "parts").repartition("block").sortWithinPartitions("block", "n", "doc_id").mapInArrow(_search_blocks(num, den), TIES)
+    odd = pairs.join(many, pairs.a == many.doc_id, "left_semi").union(pairs.join(many, pairs.b == many.doc_id, "left_semi"))
+    odd_large = large.join(many, "doc_id").withColumnRenamed("doc_id", "u").join(large, "block").select("u", F.col("doc_id").alias("v"))
+    unsearched = blocks.where("kind = 2").select("a", "b").union(odd).union(odd_large)
+    copies = sets.join(classes.where("copies > 1"), key).where("doc_id <> rep").select("doc_id", "rep")
+    clusters = components(near.union(searched).union(unsearched).union(copies).toDF("u", "v"))
     of_rep = classes.join(clusters, classes.rep == clusters.node).select("k1", "k2", "rep", "copies", "n", F.col("component").alias("cluster"))
     several = of_rep.groupBy("cluster").agg(F.count("*").alias("sets"), F.max("n").alias("most")).where("sets > 1")
     by_size = Window.partitionBy("cluster").orderBy("n", "k1", "k2")
