@@ -15,6 +15,17 @@ from ..operators.names import glob_match, module_identity
 IGNORED = [".git", ".hg", ".svn", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox", "node_modules", "build", "dist", ".eggs"]
 
 
+def _empty_files(store, path) -> list[str]:
+    """Python files without content, which Spark's readers leave out; only their names are listed."""
+    found, files = [], store.listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        name = f.getPath().toString()
+        if not f.getLen() and name.endswith((".py", ".pyi")):
+            found.append(name)
+    return found
+
+
 def scan(spark: SparkSession, root: str, source_roots: list[str] | None = None, include: list[str] | None = None, exclude: list[str] | None = None, force_include: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(sources, issues) of the .py and .pyi files below root.
 
@@ -24,7 +35,9 @@ def scan(spark: SparkSession, root: str, source_roots: list[str] | None = None,
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{py,pyi}").load(root)
     base = files.select(F.col("path").alias("_full"), F.col("content").cast("string").alias("content"))
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = base.union(spark.createDataFrame([(p, "") for p in _empty_files(store, at)], "_full string, content string"))
+    full = store.makeQualified(at).toString().rstrip("/")
     plain = re.sub("^file:/*", "/", full)
     t = base.withColumn("path", F.substr(F.regexp_replace("_full", "^file:/*", "/"), F.lit(len(plain) + 2))).drop("_full")
     forced = glob_match(F.col("path"), force_include or [])
