@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -44,5 +45,7 @@ def same(spark_df, duck_rows) -> None:
     a, b = spark_df.toPandas(), duck_rows.df()
     assert sorted(a.columns) == sorted(b.columns)
     cols = sorted(a.columns)
-    text = lambda df: sorted(repr([None if x is None or x != x else float(x) if isinstance(x, float) or hasattr(x, "dtype") and x.dtype.kind == "f" else x for x in row]) for row in df[cols].astype(object).values.tolist())
+    plain = lambda x: None if pd.api.types.is_scalar(x) and pd.isna(x) else x.item() if hasattr(x, "item") else x
+    number = lambda x: float(x) if isinstance(x, int | float) and not isinstance(x, bool) else x
+    text = lambda df: sorted(repr([number(plain(x)) for x in row]) for row in df[cols].astype(object).values.tolist())
     assert text(a) == text(b)
