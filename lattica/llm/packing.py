@@ -17,6 +17,7 @@ other columns are ignored; an empty table gives no rows.
 
 import bisect
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -36,6 +37,8 @@ TIERS = (512, 1024, 2048, 4096)
 STEP = 16
 
 
+#: Of lower-case ASCII: runs of letters, single digits, runs of other signs.
+PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 #: Byte-level vocabularies write bytes that have no visible sign of their own as the signs from U+0100 on.
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)).difference(VISIBLE)))}
@@ -61,11 +64,11 @@ class WordTokens:
         self.model = self.tokenizer.model
         sample = ["ab", "straße", "ciónñga", "être", "ж", "thatwhwhthonion"]
         self.direct = [self._letters(w) for w in sample] == [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch(sample, add_special_tokens=False)]
-        self.tails = {y: np.array(self.tokenizer.encode(y, add_special_tokens=False).ids, self.kind).tobytes() for y in ("", ".", ",")}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         known = self.known
-        parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        texts = [t.lower() if self.lowers and t.isascii() and "<|" not in t else t for t in (t or "" for t in texts)]
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         found = [list(map(known.get, p)) for p in parts]
         gaps = [[i for i, v in enumerate(f) if v is None] if None in f else [] for f in found]
         new = self._new({p[i] for p, g in zip(parts, gaps) for i in g})
@@ -82,30 +85,34 @@ class WordTokens:
         return array(self.code, [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
 
     def _new(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of words that are not known."""
-        # a letter word's last full stop or comma is a token of its own, and the vocabulary knows lower case only
-        bare, cut = {}, {}
+        """The ids of words that are not known. Between letters, digits and other signs there is always a token's edge, so
+        such parts are encoded, and known, alone."""
+        known, letters, done, parts = self.known, self._letters, {}, {}
         for w in words:
-            x, y = (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, "")
-            if self.lowers and x.isascii() and x.isalpha():
-                x = x.lower()
-            if y or x != w:
-                cut[w] = x, y
-            if x not in self.known and x not in bare:
-                if self.direct and x.islower() and x.isalpha() and is_normalized("NFC", x):
-                    bare[x] = self._letters(x)
+            if self.direct and w.isalpha() and w.islower() and (w.isascii() or is_normalized("NFC", w)):
+                done[w] = letters(w)
+            elif self.lowers and w.isascii() and "'" not in w and "<|" not in w:
+                parts[w] = PARTS.findall(w.lower())
+            elif w[-1] in ".," and w[:-1].lower().isalpha():
+                parts[w] = [w[:-1], w[-1]]
+            else:
+                parts[w] = [w]
+        rest = []
+        for x in {x for p in parts.values() for x in p}:
+            if x in known:
+                done[x] = known[x]
+            elif x not in done:
+                if self.direct and x.isalpha() and x.islower() and (x.isascii() or is_normalized("NFC", x)):
+                    done[x] = letters(x)
                 else:
-                    bare[x] = None
-        names = [x for x, v in bare.items() if v is None]
-        for at in range(0, len(names), 4096):
-            for word, e in zip(names[at : at + 4096], self.tokenizer.encode_batch_fast(names[at : at + 4096], add_special_tokens=False)):
-                bare[word] = array(self.code, e.ids).tobytes()
-        get = lambda x: bare[x] if x in bare else self.known[x]
-        bare.update({w: get(x) + self.tails[y] for w, (x, y) in cut.items()})
-        for w in words:
-            if w not in bare:
-                bare[w] = self.known[w]
-        return bare
+                    rest.append(x)
+        for at in range(0, len(rest), 4096):
+            for x, e in zip(rest[at : at + 4096], self.tokenizer.encode_batch_fast(rest[at : at + 4096], add_special_tokens=False)):
+                done[x] = array(self.code, e.ids).tobytes()
+        for w, p in parts.items():
+            if len(p) > 1 or w != p[0]:
+                done[w] = b"".join(map(done.__getitem__, p))
+        return done
 
 
 def word_tokens(path: str, end_id: int) -> WordTokens:

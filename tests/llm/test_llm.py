@@ -173,6 +173,14 @@ def test_packing_keeps_every_token(spark):
     assert max(steps.values()) <= 16 * 4096
 
 
+def test_word_tokens_are_the_tokenizers():
+    words, r = packing.WordTokens(queries.tokenizer_path(), 2), random.Random(1)
+    signs = [*"aAbBzZ019.,!?'\"<|>_-  \n\téÉßİıΣσς́ж中𝄞\x0b\x0c\x1c\x85\xa0 ﬁǅ", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "don't"]
+    for _ in range(3000):
+        t = "".join(r.choice(signs) for _ in range(r.randint(0, 25)))
+        assert list(words.encode([t])[0]) == [*words.tokenizer.encode(t, add_special_tokens=False).ids, 2]
+
+
 def test_packer_in_any_batches():
     r = random.Random(5)
     for _ in range(200):
