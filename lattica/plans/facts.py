@@ -27,13 +27,13 @@ def mask(effects: list[str]) -> int:
 
 class Catalog:
     """Named tables over sources (path, module_id, is_package, content, line_count, status) and a policy. Facts are
-    extracted once and written by kind; every table after that is a plan over them."""
+    extracted once and written, unless they are given; every table after that is a plan over them."""
 
-    def __init__(self, sources: DataFrame, policy: dict):
+    def __init__(self, sources: DataFrame, policy: dict, facts: DataFrame | None = None):
         self.policy, self.all_sources = policy, sources
         self.sources = sources.where("status = 'analyzed'")
         self.spark = sources.sparkSession
-        self.facts = written(extract(self.sources))
+        self.facts = facts if facts is not None else written(extract(self.sources))
 
     def kind(self, name: str) -> DataFrame:
         return self.facts.where(F.col("kind") == name)

@@ -74,9 +74,9 @@ class Report:
         return "\n".join([*lines, f"exit code {self.exit_code}"])
 
 
-def check_sources(sources: DataFrame, policy: dict, issues: DataFrame | None = None, rules: list[str] | None = None) -> Report:
-    """Checks sources (as scan() gives them) against a completed policy."""
-    catalog = Catalog(sources, policy)
+def check_sources(sources: DataFrame, policy: dict, issues: DataFrame | None = None, rules: list[str] | None = None, facts: DataFrame | None = None) -> Report:
+    """Checks sources (as scan() gives them) against a completed policy. facts: those of the sources, if they are known."""
+    catalog = Catalog(sources, policy, facts)
     evaluations, findings = evaluate(catalog, rules)
     ignores = written(inline_ignores(catalog.sources, list(RULES)))
     known = catalog.issues if issues is None else issues.union(catalog.issues)
