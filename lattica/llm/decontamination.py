@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .text import K1, K2, bound_batches, hash_cache, mix, plain_words, word_hashes
+from .text import K1, K2, PLAIN, bound_batches, hashed_words, mix
 
 #: 1: the word counts, 0: it is ignored. Any two substitutions in 14 words leave a window of one of these intact.
 MASKS = ("111111", "11011011", "1110010111")
@@ -116,20 +116,20 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, item_id: str = "ite
         shipped = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, cache = shipped.value, hash_cache()
+            items = shipped.value
             for b in batches:
                 before = b.column(len(names) - 1).to_pylist() if b.num_columns == len(names) else [[]] * b.num_rows
                 rows = []
                 for text, old in zip(b.column(at).to_pylist(), before):
-                    found = items.overlaps(word_hashes(plain_words(text), cache)) if text else {}
+                    found = items.overlaps(hashed_words(text, PLAIN)) if text else {}
                     rows.append([*old, *({item_id: items.ids[k], "words_agreeing": n, "start_word": start, "share": share} for k, (n, start, share) in sorted(found.items()))])
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names) - 1], pa.array(rows, kind)], names=names)
 
         return df.mapInArrow(run, schema)
 
-    found, ids, hashes, words, cache, passes = docs, [], [], 0, hash_cache(), 0
+    found, ids, hashes, words, passes = docs, [], [], 0, 0
     for row in benchmark.select(F.col(item_id), F.col("text")).where(F.col("text").isNotNull()).toLocalIterator():
-        h = word_hashes(plain_words(row[1]), cache)
+        h = hashed_words(row[1], PLAIN)
         ids.append(row[0]), hashes.append(h)
         words += len(h)
         if words >= block_words:

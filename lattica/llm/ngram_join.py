@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .text import K1, K2, K3, K4, S32, bound_batches, hash_cache, mix, word_hashes, written
+from .text import K1, K2, K3, K4, S32, SPACED, bound_batches, hashed_words, mix, written
 
 #: Sets of a block that are compared pair by pair, and sets up to which a block is searched at all; larger ones are tied
 #: together as they are, which costs comparisons later but loses nothing.
@@ -52,10 +52,9 @@ ODD = mix(np.arange(1, 33, dtype=np.uint64) * K3) | np.uint64(1)
 def ngrams(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of a text's words (lower-cased A-Z, cut at ASCII white space); with fewer
     words, of the whole sequence."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(words, hash_cache())
+    h = hashed_words(text or "", SPACED)
+    if not len(h):
+        return h
     k = min(n, len(h))
     total = np.full(len(h) - k + 1, np.uint64(k * int(K4) % 2**64))
     for i in range(k):

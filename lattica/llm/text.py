@@ -3,7 +3,6 @@
 import gc
 
 import numpy as np
-import xxhash
 from pyspark.sql import SparkSession
 
 from ..storage import shared_folder, written  # noqa: F401
@@ -48,8 +47,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> S33)
 
 
-def word_hashes(words: list[bytes], cache: Cache) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+class WordTable:
+    """How bytes make words: which end a word, and a random value for each other byte (one for A-Z and a-z alike)."""
+
+    def __init__(self, breaks: set[int]):
+        self.breaks = np.array([c in breaks for c in range(256)])
+        self.values = mix(np.arange(1, 257, dtype=np.uint64) * K1)
+        self.values[65:91] = self.values[97:123]
+        self.values[self.breaks] = 0
+
+
+#: Words cut at ASCII white space, and words of letters and digits: all other ASCII signs end one.
+SPACED = WordTable({32, *range(9, 14)})
+PLAIN = WordTable({c for c in range(128) if not chr(c).isalnum()})
+#: Powers of an odd number for the places in a word; longer words use them again, times another odd number.
+PLACES = np.cumprod(np.full(4096, K2 | np.uint64(1)))
+
+
+def hashed_words(text: str, table: WordTable) -> np.ndarray:
+    """64-bit hashes of a text's words, upper and lower case of A-Z alike, in order: polynomials in the values of their
+    bytes, for all words at once."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    gap = table.breaks[data]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if len(data) and not gap[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    if len(ends) < len(starts):
+        ends = np.concatenate([ends, [len(data)]])
+    first = starts[0]
+    place = np.arange(first, len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    longest = int((ends - starts).max())
+    weights = PLACES[np.minimum(place, longest) & 4095]
+    if longest > 4096:
+        weights = weights * ((place >> 12).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    sums = np.add.reduceat(table.values[data[first:]] * weights, starts - first)
+    return mix(sums + (ends - starts).astype(np.uint64) * K5)
 
 
 #: What a worker keeps between tasks, by its kind; one kind at a time, so stages of a pipeline don't add up.
@@ -65,11 +100,6 @@ def kept(kind: str, key, make):
     return _kept[kind][1]
 
 
-def hash_cache() -> Cache:
-    """Hashes of words."""
-    return kept("hashes", None, lambda: Cache(xxhash.xxh3_64_intdigest))
-
-
 def plain_words(text: str) -> list[bytes]:
     """Lower-cased (A-Z) words without ASCII punctuation."""
     return text.encode("utf-8", "surrogatepass").lower().translate(PUNCTUATION_TO_SPACE).split()

@@ -34,6 +34,23 @@ def test_against_sql(spark, duck, name):
     same(queries.queries()[name](spark, SF), duck.execute(queries.oracle_sql()[name]))
 
 
+def test_hashed_words():
+    r = random.Random(8)
+    signs = [*"aAbB \t\n\x0b\x0c\r\x1c.,é𝄞\xa0\x00"]
+    for table, cut in ((text.SPACED, rb"[^\x20\x09-\x0d]+"), (text.PLAIN, rb"[0-9a-z\x80-\xff]+")):
+        seen = {}
+        for _ in range(3000):
+            t = "".join(r.choice(signs) for _ in range(r.randint(0, 20)))
+            words = re.findall(cut, t.encode().lower())
+            got = text.hashed_words(t, table)
+            assert len(got) == len(words)
+            for w, h in zip(words, got.tolist()):
+                assert seen.setdefault(w, h) == h
+        assert len(set(seen.values())) == len(seen)
+    long = ["x" * 10_000, "x" * 5_904 + "y" + "x" * 4_095, "x" * 10_001]
+    assert len({text.hashed_words(t, text.SPACED)[0] for t in long}) == 3
+
+
 # n-gram join
 
 
@@ -373,8 +390,7 @@ def test_thresholds_ascend_and_weights_are_shared():
 def test_items_are_found_through_substitutions_and_clean_texts_are_left():
     r = random.Random(6)
     vocabulary = [f"v{k}" for k in range(5000)]
-    cache = text.hash_cache()
-    of = lambda words: text.word_hashes([w.encode() for w in words], cache)
+    of = lambda words: text.hashed_words(" ".join(words), text.PLAIN)
     items = [r.choices(vocabulary, k=r.choice([3, 15, 30, 59])) for _ in range(40)]
     index = decontamination.Items(list(range(40)), [of(i) for i in items])
     for _ in range(300):
