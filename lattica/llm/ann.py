@@ -13,8 +13,8 @@ Every vector is indexed; nothing is sampled. Equal vectors are one node that kno
 can ask for, one more for the query itself, so a vector on a third of all rows is one node and ties are resolved exactly.
 What leaves a shard is the asked-for number of rows for each query.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, neither as queries nor as candidates; ties go to the smaller id; repeated rows (same id and vector) are one; a null
+Defined results: vectors that are null, zero, empty, or hold null or non-finite components take no
+part, neither as queries nor as candidates; vectors of different lengths are not compared; ties go to the smaller id; repeated rows (same id and vector) are one; a null
 id takes no part; other columns are ignored; an empty table gives no rows.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .text import bound_batches, written
 
 #: Distinct vectors of a shard, about; edges of a node; width of the beam when building and when searching; slack factor.
-SHARD, DEGREE, BUILD, BEAM, SLACK = 8192, 24, 40, 160, 1.2
+SHARD, DEGREE, BUILD, BEAM, SLACK = 4096, 32, 64, 320, 1.2
 #: Queries that are searched together, and rows of a stored block of queries.
 TOGETHER, BLOCK = 256, 1024
 
