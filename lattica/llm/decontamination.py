@@ -23,8 +23,8 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from .text import K1, K2, PLAIN, bound_batches, hashed_words, mix
 
-#: 1: the word counts, 0: it is ignored. Any two substitutions in 14 words leave a window of one of these intact.
-MASKS = ("111111", "11011011", "1110010111")
+#: 1: the word counts, 0: it is ignored. A hit needs four to seven words that agree in one of these patterns.
+MASKS = ("111111", "11011011", "1110010111", "110101", "11001001")
 #: A document holds an item if so much of the item's words agree where it lies, or so many words in a row of RUN.
 COVERED, RUN, RUN_COVERED = 0.6, 20, 0.8
 
