@@ -328,3 +328,71 @@ def fact_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Stable ids of facts."""
     e = t(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("module_id"), F.coalesce("props", F.lit("")).alias("scope"), F.col("event_type").alias("kind"), F.lit("s").alias("subject"))
     return fingerprints.fact_ids(e, ["event_id"]).select("event_id", "fact_id")
+
+
+@query("""SELECT c.conv_id, c.turn, c.role, p.role AS before FROM conversations c JOIN conversations p ON c.conv_id = p.conv_id AND c.turn = p.turn + 1 WHERE c.role = p.role OR p.role = 'system'""")
+def parent_child(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts joined with their parent: turns that repeat a role or open a conversation."""
+    c = t(spark, sf, "conversations").select("conv_id", "turn", "role")
+    p = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before"))
+    return c.join(p, ["conv_id", "turn"]).where("role = before OR before = 'system'")
+
+
+@query("""SELECT o_orderkey, coalesce(bool_and(l_returnflag = 'R'), false) AS all_returned, coalesce(bool_or(l_returnflag = 'R'), false) AS any_returned FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def all_and_any(spark: SparkSession, sf: str) -> DataFrame:
+    """Conditions that hold for all or any members of a group; an empty group has neither."""
+    flags = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_and(F.col("l_returnflag") == "R").alias("a"), F.bool_or(F.col("l_returnflag") == "R").alias("b"))
+    none = F.lit(False)
+    return t(spark, sf, "orders").select("o_orderkey").join(flags, "o_orderkey", "left").select("o_orderkey", F.coalesce("a", none).alias("all_returned"), F.coalesce("b", none).alias("any_returned"))
+
+
+@query("""WITH g AS (SELECT 'inner' AS grp, n_nationkey AS member FROM nation WHERE n_regionkey < 2 UNION ALL SELECT 'outer', n_nationkey FROM nation WHERE n_regionkey >= 2),
+a AS (SELECT n_nationkey AS role, unnest([CASE WHEN n_nationkey % 2 = 0 THEN '@inner' ELSE '@outer' END, n_nationkey::VARCHAR]) AS allowed FROM nation)
+SELECT DISTINCT role, coalesce(member, try_cast(allowed AS INTEGER))::INTEGER AS target FROM a LEFT JOIN g ON allowed = '@' || grp""")
+def role_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Allow lists with groups of roles, expanded once."""
+    n = t(spark, sf, "nation")
+    group = n.select(F.concat(F.lit("@"), F.when(F.col("n_regionkey") < 2, "inner").otherwise("outer")).alias("allowed"), F.col("n_nationkey").alias("member"))
+    own = F.array(F.when(F.col("n_nationkey") % 2 == 0, "@inner").otherwise("@outer"), F.col("n_nationkey").cast("string"))
+    allow = n.select(F.col("n_nationkey").alias("role"), F.explode(own).alias("allowed"))
+    return allow.join(group, "allowed", "left").select("role", F.coalesce("member", F.expr("try_cast(allowed AS int)")).cast("int").alias("target")).distinct()
+
+
+@query("SELECT user_id, day, event_type, event_id FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS day, event_type, event_id FROM events) QUALIFY row_number() OVER (PARTITION BY user_id, day, event_type ORDER BY event_id) = 1")
+def statement_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each statement key, the first in order."""
+    e = t(spark, sf, "events").select("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("day"), "event_type", "event_id")
+    return e.groupBy("user_id", "day", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+@query("""WITH r AS (SELECT n_nationkey, lower(replace(r_name, ' ', '_')) AS role FROM nation JOIN region ON n_regionkey = r_regionkey),
+s AS (SELECT s_suppkey, s_nationkey, s_acctbal, role FROM supplier JOIN r ON s_nationkey = n_nationkey),
+m AS (SELECT 's' || s_suppkey AS m, s_suppkey % 5 = 0 AS clock, s_acctbal < 2000 AS sleeps, s_acctbal < 1000 AS dynamic,
+  (SELECT role FROM r WHERE n_nationkey = (s_nationkey + s_suppkey % 3) % 25) NOT IN (s.role, 'europe') AS wrong FROM s
+  UNION ALL SELECT 'n' || n_nationkey, false, false, false, false FROM r),
+v AS (SELECT 'TIME001' AS rule_id, clock AS bad FROM m UNION ALL SELECT 'ASYNC001', sleeps FROM m UNION ALL SELECT 'IMPORT002', dynamic FROM m UNION ALL SELECT 'ARCH001', wrong FROM m UNION ALL SELECT 'ARCH000', false FROM m)
+SELECT rule_id, CASE WHEN bad THEN 'fail' ELSE 'pass' END AS verdict, count(*)::BIGINT AS modules FROM v GROUP BY ALL""")
+def rule_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """A project whose sources are written out of the tables, a module for each supplier and nation, judged by rules."""
+    from ..sources.policy import complete
+    from .report import check_sources
+
+    region = t(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))).alias("role"))
+    nation = t(spark, sf, "nation").select("n_nationkey", "n_regionkey").join(region, "n_regionkey").select("n_nationkey", "role")
+    target = F.pmod(F.col("s_nationkey") + F.pmod("s_suppkey", F.lit(3)), F.lit(25)).cast("int")
+    of = nation.select(F.col("n_nationkey").alias("s_nationkey"), "role")
+    other = nation.select(F.col("n_nationkey").alias("t"), F.col("role").alias("target_role"))
+    s = t(spark, sf, "supplier").join(of, "s_nationkey").withColumn("t", target).join(other, "t")
+    text = F.concat(
+        F.lit("import datetime\nimport importlib\nimport time\nimport app."), F.col("target_role"), F.lit(".n"), F.col("t").cast("string"), F.lit("\n"),
+        F.when(F.col("s_suppkey") % 5 == 0, "now = datetime.datetime.now()\n").otherwise(""),
+        F.when(F.col("s_acctbal") < 2000, "async def wait():\n    helper()\ndef helper():\n    time.sleep(1)\n").otherwise(""),
+        F.when(F.col("s_acctbal") < 1000, "importlib.import_module('x')\n").otherwise(""),
+    )
+    modules = s.select("role", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("m"), text.alias("content")).union(nation.select("role", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.lit("x = 1\n")))
+    path = F.concat_ws("/", F.lit("app"), "role", "m")
+    sources = modules.select(F.concat(path, F.lit(".py")).alias("path"), F.replace(path, F.lit("/"), F.lit(".")).alias("module_id"), F.lit(False).alias("is_package"), "content", F.sha2("content", 256).alias("content_hash"), (F.size(F.split("content", "\n")) - 1).alias("line_count"), F.lit("analyzed").alias("status"))
+    roles = [r[0] for r in region.select("role").collect()]
+    policy = complete({"roles": {r: {"include": [f"app/{r}/*"]} for r in roles}, "allow": {r: sorted({r, "europe"}) for r in roles}})
+    report = check_sources(sources, policy, rules=["ARCH000", "ARCH001", "TIME001", "ASYNC001", "IMPORT002"])
+    return report.evaluations.groupBy("rule_id", "verdict").agg(F.count("*").alias("modules"))
