@@ -5,7 +5,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, names
+from ..operators import graph, joins, names
 from ..sources.extract import extract
 from ..storage import written
 
@@ -125,10 +125,50 @@ class Catalog:
         known = self.kind("function").select(F.col("symbol").alias("dst")).distinct()
         return written(self.calls.where("scope <> 'module'").select(F.col("owner").alias("src"), F.col("canonical").alias("dst")).join(known, "dst", "left_semi").select("src", "dst"))
 
+    @cached_property
+    def callbacks(self) -> DataFrame:
+        """node: parameters (function.parameter) that a plain function calls, itself or through functions that it hands them
+        on to; certain: unconditionally and outside of contexts all the way."""
+        plain = self.kind("function").where("scope = 'module'").where((attr("is_async") != "true") & (attr("decorators") == ""))
+        own = plain.select(F.col("symbol").alias("owner"), F.explode("items").alias("i")).select("owner", F.concat_ws(".", "owner", "i.name").alias("node"))
+        named = self.kind("binding").where(attr("binding") != "parameter").select(F.col("symbol").alias("node")).distinct()
+        own = own.join(named, "node", "left_anti")  # a name that is bound again is no longer the parameter
+        sure = (F.col("guard") == "unconditional") & (attr("contexts") == "")
+        called = self.kind("call").where("state = 'resolved'").select("owner", F.col("symbol").alias("node"), sure.alias("sure")).join(own, ["owner", "node"], "left_semi")
+        bound = self.bound_arguments.join(own.select(F.col("node").alias("value"), F.col("owner").alias("caller")), ["value", "caller"])
+        out = None
+        for certain in (False, True):
+            base = called.where("sure") if certain else called
+            edges = bound.where("sure") if certain else bound
+            known = graph.set_fixpoint(base.select("node", F.lit(1).alias("value")), edges.select(F.col("value").alias("src"), F.concat_ws(".", "function", "parameter").alias("dst"))).select("node", F.lit(certain).alias("certain"))
+            out = known if out is None else out.union(known)
+        return written(out.groupBy("node").agg(F.bool_or("certain").alias("certain")))
+
+    @cached_property
+    def bound_arguments(self) -> DataFrame:
+        """module_id, n, caller, function, parameter, value (a symbol) and sure of the arguments of calls of the project's
+        functions."""
+        f = self.kind("function").where("scope = 'module'")
+        params = f.select(F.col("symbol").alias("function"), F.posexplode("items").alias("position", "i")).select("function", "i.name", "position", F.col("i.kind").alias("kind"), (F.col("i.literal").isNull() & ~F.col("i.kind").isin("var_positional", "var_keyword")).alias("required"))
+        t = self.calls.where("state = 'resolved'").where(attr("unpack") != "true").join(f.select(F.col("symbol").alias("canonical")).distinct(), "canonical", "left_semi")
+        call_id = F.concat_ws("#", "module_id", F.col("n").cast("string"))
+        calls = t.select(call_id.alias("call_id"), F.col("canonical").alias("function"), F.transform("items", lambda i: F.struct(i["name"].alias("name"), i["position"].alias("position"), i["symbol"].alias("value"))).alias("args"))
+        where = t.select(call_id.alias("call_id"), "module_id", "n", F.col("owner").alias("caller"), F.col("canonical").alias("function"), ((F.col("guard") == "unconditional") & (attr("contexts") == "")).alias("sure"))
+        return written(joins.bind_arguments(calls, params).where("value IS NOT NULL").join(where, "call_id").drop("call_id"))
+
+    @cached_property
+    def callback_effects(self) -> DataFrame:
+        """module_id, n, callback_mask: effects of what a call hands to parameters that are called."""
+        given = self.bound_arguments.withColumn("node", F.concat_ws(".", "function", "parameter")).join(self.callbacks, "node")
+        t = self.canonical(given, "value").join(self.catalog.where("NOT wrapped"), F.col("canonical") == F.col("effect_symbol"))
+        return written(t.groupBy("module_id", "n").agg(F.bit_or("effects").alias("callback_mask")))
+
     @cached_property
     def summaries(self) -> DataFrame:
         """node, mask: effects that a function reaches by direct access, through any chain of calls."""
         base = self.calls.where("effects > 0 AND NOT wrapped AND scope <> 'module'").select(F.col("owner").alias("node"), F.col("effects").alias("mask"))
+        handed = self.calls.where("scope <> 'module'").join(self.callback_effects, ["module_id", "n"]).select(F.col("owner").alias("node"), F.col("callback_mask").alias("mask"))
+        base = base.union(handed)
         return written(graph.mask_fixpoint(base, self.call_graph))
 
     @cached_property

@@ -235,10 +235,11 @@ def _(c: Catalog):
 @rule("ASYNC001")
 def _(c: Catalog):
     running = c.functions.where(attr("is_async") == "true").select(F.col("symbol").alias("owner")).distinct()
-    t = c.calls.join(running, "owner", "left_semi").join(c.summaries.select(F.col("node").alias("canonical"), "mask"), "canonical", "left")
+    t = c.calls.join(running, "owner", "left_semi").join(c.summaries.select(F.col("node").alias("canonical"), "mask"), "canonical", "left").join(c.callback_effects, ["module_id", "n"], "left")
     bits = mask(["io.blocking"])
     blocks = (F.coalesce(F.col("effects"), F.lit(0)).bitwiseAND(bits) != 0) & ~F.coalesce("wrapped", F.lit(False)) | (F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(bits) != 0)
-    return found(t.where(blocks), "canonical", "owner")
+    handed = F.coalesce("callback_mask", F.lit(0)).bitwiseAND(bits) != 0
+    return found(t.where(blocks | handed), "canonical", "owner")
 
 
 @doubt("ASYNC001", first=False)

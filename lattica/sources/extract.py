@@ -244,7 +244,7 @@ class Facts(ast.NodeVisitor):
             was = self.scope, self.phase, self.contexts, self.guard
             self.scope, self.phase, self.contexts, self.guard = Scope("function", symbol, outer), "deferred", [], "unconditional"
             for x, item in zip((x for _, x in kinds), items):
-                self.scope.names[x.arg] = Meaning([MAYBE])
+                self.scope.names[x.arg] = Meaning([f"{symbol}.{x.arg}"])
                 if item["symbol"]:
                     self.scope.types[x.arg] = item["symbol"]
                 self.add("binding", x, name=x.arg, attrs={"binding": "parameter"})

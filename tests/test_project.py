@@ -96,6 +96,42 @@ def test_revisions_give_what_a_fresh_check_gives(spark):
     assert missed(touched, moved).count() == 0
 
 
+CALLBACKS = """
+import time
+def call(f):
+    f()
+def forward(g, other=None):
+    call(g)
+def maybe(f):
+    if f:
+        f()
+def rebound(f):
+    f = print
+    f()
+async def direct():
+    call(time.sleep)
+async def through():
+    forward(time.sleep)
+async def harmless():
+    forward(print, other=time.sleep)
+async def gone():
+    rebound(time.sleep)
+def helper():
+    forward(time.sleep)
+async def deep():
+    helper()
+async def wrong():
+    call(time.sleep, 1)
+"""
+
+
+def test_callbacks_carry_their_effects(spark):
+    c = Catalog(table(spark, {"m.py": CALLBACKS}), complete({}))
+    assert {(r.node, r.certain) for r in c.callbacks.collect()} == {("m.call.f", True), ("m.forward.g", True), ("m.maybe.f", False)}
+    report = check_sources(table(spark, {"m.py": CALLBACKS}), complete({}), rules=["ASYNC001"])
+    assert {r.subject for r in report.findings.collect()} == {"m.direct", "m.through", "m.deep"}
+
+
 def test_semantic_digests_ignore_places(spark):
     a = Catalog(table(spark, {"m.py": "x = 1\ndef f(a):\n    return g(a)\n"}), complete({}))
     b = Catalog(table(spark, {"m.py": "# moved\n\nx = 1\n\ndef f(a):\n    return g(a)\n"}), complete({}))
