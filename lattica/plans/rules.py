@@ -2,6 +2,7 @@
 
 A rule is judged for each module of its zones: a module that could not be read is indeterminate; one with a doubt is
 indeterminate where the rule says that doubts come first, or if it has no finding; one with a finding fails; others pass.
+A rule that has nothing to say about a module (by its role, mostly) is not applicable to it.
 Findings carry module_id, path, line, column (from 0), symbol (what breaks the rule) and subject (what is broken).
 """
 
@@ -573,6 +574,19 @@ def _(c: Catalog):
     return None  # comes from the suppression step, which knows what was used
 
 
+def applies(policy: dict) -> dict[str, Column]:
+    """Conditions on a module (role and path) without which a rule says nothing about it."""
+    b, code = policy["boundaries"], policy["code"]
+    in_roles = lambda roles: F.coalesce(one_of("role", roles), F.lit(False))
+    found_ = {"ARCH001": F.col("role").isNotNull(), "BOUNDARY001": in_roles(sorted({r for x in policy["import_boundaries"] for r in x["roles"]})), "TEST001": F.col("path").rlike(r"(^|/)conftest\.py\z"), "IGNORE001": F.lit(False)}
+    sets = {"BOUNDARY002": "service_roles", "BOUNDARY003": "contract_roles", "ADAPTER001": "adapter_roles", "ADAPTER002": "adapter_roles", "ENTRY001": "entry_roles", "SERVICE001": "service_roles", "QUERY001": "query_roles", "MODEL001": "model_roles", "SESSION003": "service_roles"}
+    found_ |= {r: in_roles(b[k]) for r, k in sets.items()}
+    found_ |= {r: in_roles(code[k]) for r, k in {"DTO001": "dto_roles", "DTO002": "dto_roles", "SCHEMA001": "schema_roles", "SCHEMA002": "schema_roles", "API002": "schema_roles"}.items()}
+    found_["WIRING001"] = ~in_roles(b["bootstrap_roles"] + b["implementation_construction_roles"])
+    found_["CONFIG001"] = ~in_roles(b["configuration_roles"] + b["bootstrap_roles"])
+    return found_
+
+
 def evaluate(c: Catalog, rules: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(evaluations, findings). evaluations: rule_id, module_id, path, zone, level, verdict, reason, one for each rule and
     module of the rule's zones. findings: those of failed evaluations, with level and fingerprint."""
@@ -581,14 +595,16 @@ def evaluate(c: Catalog, rules: list[str] | None = None) -> tuple[DataFrame, Dat
     raw = [tag(df, r).select("rule_id", *COLUMNS) for r in chosen if (df := FINDINGS[r](c)) is not None]
     unsure_ = [tag(plan(c), r).select("rule_id", "module_id", "reason", F.lit(first).alias("first")) for r in chosen if r in DOUBTS for plan, first in [DOUBTS[r]]]
     scope = c.spark.createDataFrame([(r, z, c.policy["levels"][r]) for r in chosen for z in c.policy["rule_zones"][r]], "rule_id string, zone string, level string")
-    targets = c.modules.select("module_id", "path", "zone", "complete").join(F.broadcast(scope), "zone")  # rules and zones are configuration
+    targets = c.modules.select("module_id", "path", "role", "zone", "complete").join(F.broadcast(scope), "zone")  # rules and zones are configuration
+    conditions = [(F.col("rule_id") == r) & ~condition for r, condition in applies(c.policy).items() if r in chosen]
+    targets = targets.withColumn("silent", reduce(lambda a, b: a | b, conditions, F.lit(False)))
     empty = c.spark.createDataFrame([], "rule_id string, module_id string, path string, line int, column int, symbol string, subject string")
     hits = reduce(DataFrame.unionByName, raw, empty)
     doubts = reduce(DataFrame.union, unsure_, c.spark.createDataFrame([], "rule_id string, module_id string, reason string, first boolean"))
     per_hit = hits.groupBy("rule_id", "module_id").agg(F.count("*").alias("hits"))
     per_doubt = doubts.groupBy("rule_id", "module_id").agg(F.min("reason").alias("doubt"), F.bool_or("first").alias("first"))
     t = targets.join(per_hit, ["rule_id", "module_id"], "left").join(per_doubt, ["rule_id", "module_id"], "left")
-    verdict = F.when(~F.col("complete"), "indeterminate").when(F.col("first"), "indeterminate").when(F.col("hits") > 0, "fail").when(F.col("doubt").isNotNull(), "indeterminate").otherwise("pass")
+    verdict = F.when(~F.col("complete"), "indeterminate").when(F.col("silent"), "not_applicable").when(F.col("first"), "indeterminate").when(F.col("hits") > 0, "fail").when(F.col("doubt").isNotNull(), "indeterminate").otherwise("pass")
     reason = F.when(~F.col("complete"), "incomplete_module").when(verdict == "indeterminate", F.col("doubt"))
     evaluations = t.select("rule_id", "module_id", "path", "zone", "level", verdict.alias("verdict"), reason.alias("reason"))
     evidence = F.sha2(canonical_json(F.struct("rule_id", "module_id", "symbol", "subject")).cast("binary"), 256)

@@ -111,6 +111,8 @@ def test_suppression_and_decision(report, findings):
     assert report.exit_code == 2  # a file could not be read
     verdicts = {(r.rule_id, r.verdict) for r in report.evaluations.where("module_id = 'app.broken'").collect()}
     assert {v for _, v in verdicts} == {"indeterminate"}
+    of = {r.rule_id: r.verdict for r in report.evaluations.where("module_id = 'app.dto.user'").collect()}
+    assert of["DTO001"] == "fail" and of["BOUNDARY002"] == of["IGNORE001"] == "not_applicable" and of["ARCH001"] == "pass"
     c = {r.rule_id: r for r in report.coverage.collect()}
     assert all(r.total == r["pass"] + r["fail"] + r.not_applicable + r.indeterminate for r in c.values())
 
