@@ -1,4 +1,4 @@
-"""python -m lattica check|audit|rules|config <root>"""
+"""python -m lattica check|audit|rules|config|init <root>"""
 
 import argparse
 import json
@@ -8,6 +8,7 @@ import tomllib
 from pyspark.sql import SparkSession
 
 from .plans.assurance import audit
+from .plans.onboarding import propose
 from .plans.report import check
 from .sources.policy import ADVISORY, RULES, PolicyError, load_document, load_policy, read_text
 
@@ -38,16 +39,21 @@ def members(spark: SparkSession, root: str, table: str) -> list[str]:
 def main(args: list[str] | None = None, out=sys.stdout) -> int:
     """Exit code 0: complete and compliant, 1: violations, 2: not reliable. Of several members the largest counts."""
     parser = argparse.ArgumentParser(prog="lattica", description=__doc__)
-    parser.add_argument("command", choices=["check", "audit", "rules", "config"])
+    parser.add_argument("command", choices=["check", "audit", "rules", "config", "init"])
     parser.add_argument("root", nargs="?", default=".")
     parser.add_argument("--format", choices=["text", "json"], default="text")
     parser.add_argument("--table", default="lattica", help="the TOML table [tool.<table>] with the policy")
+    parser.add_argument("--answers", help="a JSON file with decisions for init")
     o = parser.parse_args(args)
     if o.command == "rules":
         rules = [{"rule_id": r, "zones": {"A": "all", "P": "prod", "T": "test"}[z], "level": "advisory" if r in ADVISORY else "enforced"} for r, z in RULES.items()]
         print(json.dumps(rules, indent=1) if o.format == "json" else "\n".join(f"{r['rule_id']} {r['zones']} {r['level']}" for r in rules), file=out)
         return 0
     spark, root, codes = session(), o.root.rstrip("/") or "/", []
+    if o.command == "init":
+        proposal = propose(spark, root, json.loads(read_text(spark, o.answers)) if o.answers else None, o.table)
+        print(json.dumps(proposal, indent=1) if o.format == "json" else proposal["toml"] + "".join(f"# open: {x}\n" for x in proposal["questions"]), file=out)
+        return 2 if proposal["questions"] else 0
     try:
         for member in members(spark, root, o.table):
             path = f"{member}/pyproject.toml"

@@ -1,6 +1,7 @@
 """From findings to a decision: suppression, audits, coverage and the exit code."""
 
 import json
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,11 +70,31 @@ class Report:
         shown = self.findings.select("rule_id", "level", "module_id", "path", (F.col("line") + 1).alias("line"), (F.col("column") + 1).alias("column"), "symbol", "subject", "disposition", "reason", "fingerprint")
         return json.dumps({"schema_version": 5, "exit_code": self.exit_code, "findings": rows(shown.orderBy(*order)), "coverage": rows(self.coverage.orderBy("rule_id")), "issues": rows(self.issues.orderBy("path", "code", "message")), "resolution": rows(self.resolution)[0]}, sort_keys=True, indent=1)
 
-    def to_text(self) -> str:
-        lines = [f"{r['path']}:{r['line'] + 1}:{r['column'] + 1}: {r['rule_id']} {r['symbol']} ({r['subject']})" for r in self.findings.where("disposition = 'active'").orderBy("path", "line", "column", "rule_id", "fingerprint").collect()]
+    def to_text(self, width: int = 100) -> str:
+        """Active findings, a paragraph each, wrapped to a terminal of so many columns."""
+        found = self.findings.where("disposition = 'active'").orderBy("path", "line", "column", "rule_id", "fingerprint").collect()
+        lines = [line for r in found for line in wrapped(f"{r['path']}:{r['line'] + 1}:{r['column'] + 1}: {r['rule_id']} {r['symbol']} ({r['subject']})", width)]
         return "\n".join([*lines, f"exit code {self.exit_code}"])
 
 
+def columns(text: str) -> int:
+    """Terminal columns of a text: wide and full-width signs take two, combining ones none."""
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def wrapped(text: str, width: int, indent: str = "    ") -> list[str]:
+    """Lines of at most `width` columns, cut between words where possible; later ones are indented."""
+    lines, now = [], ""
+    for word in text.split(" "):
+        trial = f"{now} {word}" if now.strip() else now + word
+        if columns(trial) <= width or not now.strip():
+            now = trial
+        else:
+            lines.append(now)
+            now = indent + word
+    return [*lines, now]
+
+
 def check_sources(sources: DataFrame, policy: dict, issues: DataFrame | None = None, rules: list[str] | None = None, facts: DataFrame | None = None) -> Report:
     """Checks sources (as scan() gives them) against a completed policy. facts: those of the sources, if they are known."""
     catalog = Catalog(sources, policy, facts)

@@ -590,7 +590,7 @@ def applies(policy: dict) -> dict[str, Column]:
 def evaluate(c: Catalog, rules: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(evaluations, findings). evaluations: rule_id, module_id, path, zone, level, verdict, reason, one for each rule and
     module of the rule's zones. findings: those of failed evaluations, with level and fingerprint."""
-    chosen = [r for r in (rules or RULES) if c.policy["levels"][r] != "off"]
+    chosen = [r for r in (RULES if rules is None else rules) if c.policy["levels"][r] != "off"]
     tag = lambda df, name: df.withColumn("rule_id", F.lit(name))
     raw = [tag(df, r).select("rule_id", *COLUMNS) for r in chosen if (df := FINDINGS[r](c)) is not None]
     unsure_ = [tag(plan(c), r).select("rule_id", "module_id", "reason", F.lit(first).alias("first")) for r in chosen if r in DOUBTS for plan, first in [DOUBTS[r]]]

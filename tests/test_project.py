@@ -12,7 +12,8 @@ from lattica.operators.joins import snapshot_diff
 from lattica.plans.assurance import audit, observe
 from lattica.plans.capabilities import VIEWS, capability
 from lattica.plans.facts import Catalog
-from lattica.plans.report import check, check_sources
+from lattica.plans.onboarding import propose
+from lattica.plans.report import check, check_sources, columns, wrapped
 from lattica.sources.policy import complete
 from lattica.streaming.incremental import SOURCE, Session, follow, impacted, missed, semantic_digests
 
@@ -173,6 +174,27 @@ def test_command_line(spark, tree):
     assert run("rules")[1].count("\n") == 49
 
 
+def test_proposal(spark, tmp_path):
+    for name, text in {"app/services/a.py": "import app.models.m\n", "app/models/m.py": "import app.routers.r\n", "app/routers/r.py": "import app.services.a\n", "tests/test_a.py": "", "app/odd.py": "x = 1\n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    p = propose(spark, str(tmp_path))
+    assert p["roles"] == {"model": ["app/models/*"], "router": ["app/routers/*"], "service": ["app/services/*"]}
+    assert p["risky"] == ["model>router", "router>service", "service>model"] and "role of app/odd.py" in p["questions"]
+    answers = {"project_digest": p["project_digest"], "risky": {"model>router": "deny", "router>service": "allow", "service>model": "allow"}}
+    done = propose(spark, str(tmp_path), answers)
+    assert done["allow"] == {"model": ["model"], "router": ["router", "service"], "service": ["model", "service"]}
+    (tmp_path / "pyproject.toml").write_text(done["toml"])
+    assert {f.rule_id for f in check(spark, str(tmp_path)).findings.collect()} >= {"ARCH001"}
+    with pytest.raises(ValueError):
+        propose(spark, str(tmp_path), {"project_digest": "old"})
+
+
+def test_wrapping():
+    assert columns("aé漢") == 4
+    assert wrapped("aaaa bbbb cccc", 9) == ["aaaa bbbb", "    cccc"]
+
+
 def test_audit_and_observation(spark, tree):
     report = check(spark, f"{tree}/two", complete({"roles": {"service": {"include": ["app/*"]}}, "exclusions": [{"patterns": ["gone/*"], "reason": "x"}], "transaction": {"session_providers": ["app.service.nope"]}, "approvals": [{"rule": "TIME001", "symbol": "app.service.a", "reason": "x"}, {"rule": "ARCH001", "symbol": "q", "reason": "x"}]}))
     assert report.exit_code == 0
