@@ -43,7 +43,7 @@ class Catalog:
         """path, module_id, line_count, role, zone, complete."""
         failed = self.kind("failure").select("module_id", F.lit(False).alias("_ok")).distinct()
         kept = self.sources.select("path", "module_id", "is_package", "line_count", "content_hash")
-        known = names.classify(kept, self.policy["roles"], self.policy["zones"])
+        known = names.classify(kept, self.policy["roles"], self.policy["zones"], default_zone=self.policy["default_zone"])
         return written(known.join(failed, "module_id", "left").withColumn("complete", F.coalesce("_ok", F.lit(True))).drop("_ok"))
 
     @property

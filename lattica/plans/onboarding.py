@@ -96,6 +96,6 @@ def render(table: str, roles: dict, allow: dict, zones: dict, limits: dict, feat
     lines += ["", f"[tool.{table}.allow]", *(f"{a} = {q(b)}" for a, b in allow.items())]
     if zones:
         lines += ["", f"[tool.{table}.zones]", *(f"{a} = {q(b)}" for a, b in zones.items())]
-    lines += ["", f"[tool.{table}.size.role_max_lines]", *(f"{a} = {b}" for a, b in limits.items())]
+    lines += ["", f"[tool.{table}.role_max_lines]", *(f"{a} = {b}" for a, b in limits.items())]
     lines += ["", f"[tool.{table}.assurance.features]", *(f"{a} = {q(b)}" for a, b in features.items())]
     return "\n".join(lines) + "\n"

@@ -133,6 +133,10 @@ def test_policy_documents(spark, tmp_path):
     doc = load_document(spark, str(tmp_path / "pyproject.toml"), "lattica")
     assert doc["zones"] == {"test": ["tests/*"]} and "service" in doc["roles"]
     assert merge({"a": {"b": [1]}}, {"a": {"b": [2], "c": 3}}) == {"a": {"b": [2], "c": 3}}
+    done = complete({"roles": {"a": ["a/*"]}, "allow": {"a": ["a"]}, "max_lines": 9, "default_zone": "script", "external": {"timeout_calls": ["x.y"]}, "effects": [{"symbols": ["m.f", "m.g"], "effects": ["io.blocking"]}, {"symbol": "time.sleep", "effects": ["io.blocking"]}]})
+    assert done["roles"][0]["include"] == ["a/*"] and done["max_lines"] == 9 and "x.y" in done["boundaries"]["http_timeout_calls"] and done["effects"]["m.g"] == (["io.blocking"], "direct")
+    with pytest.raises(PolicyError):
+        complete({"effects": [{"symbol": "time.sleep", "effects": []}]})
     with pytest.raises(PolicyError):
         complete({"nonsense": 1})
     with pytest.raises(PolicyError):
