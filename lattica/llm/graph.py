@@ -11,21 +11,24 @@ def components(edges: DataFrame) -> DataFrame:
     null.
 
     Alternates large-star and small-star steps (each node's larger neighbours, then its smaller ones, are tied to the
-    smallest node that it knows), until the edges are stars. Each round is a few joins and aggregations on the node, which
-    combine before the shuffle; its edges are written to the shared folder, so the lineage stays short. The number of
-    rounds grows with the logarithm of the longest path.
+    smallest node that it knows), until the edges are stars. The smallest neighbours are aggregated, which combines before
+    the shuffle, and written to the shared folder, so that each join is of two plain tables and Spark can split the rows of
+    a node that has most of the edges. The edges of each round are written as well, so the lineage stays short. The number
+    of rounds grows with the logarithm of the longest path.
     """
-    pair = lambda df: df.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct()
-    now = written(pair(edges))
+    # an edge goes from its larger node u to its smaller node v
+    now = written(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").select("u", "v").distinct())
     sign = lambda df: df.agg(F.count("*"), F.sum(F.hash("u", "v")), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
+    smallest = lambda df: written(df.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
     before = sign(now)
     while before[0]:
-        both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).union(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small)
+        # large star: what is larger than v is tied to the smallest that v knows, which is v itself if it knows none smaller
+        least = smallest(now)
+        large = written(now.join(least, now["v"] == least["w"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        # small star: what is smaller than u, and u, is tied to the smallest of them
+        least = smallest(large)
+        moved = large.join(least, large["u"] == least["w"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = written(moved.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
         if (after := sign(now)) == before:
             break
         before = after
