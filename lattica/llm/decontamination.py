@@ -105,8 +105,9 @@ HITS = "test_items"
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", masks: tuple[str, ...] = MASKS, block_words: int = 2_000_000) -> DataFrame:
     """The rows of docs with one more column, test_items: an array of the items that the row's text holds, each with
-    words_agreeing long, start_word long (the item's first word in the text; may be negative) and share double."""
-    spark = docs.sparkSession
+    words_agreeing long, start_word long (the item's first word in the text; may be negative) and share double. A
+    column of that name is replaced."""
+    spark, docs = docs.sparkSession, docs.drop(HITS)
     bound_batches(spark)
     hit = StructType([StructField(item_id, benchmark.schema[item_id].dataType), StructField("words_agreeing", LongType()), StructField("start_word", LongType()), StructField("share", DoubleType())])
     schema = StructType([*docs.schema.fields, StructField(HITS, ArrayType(hit))])

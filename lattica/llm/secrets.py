@@ -300,7 +300,8 @@ SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("st
 
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs with one more column, secret_spans array<struct<kind, start, end>>: code points, end exclusive,
-    by start, then kind as listed in KINDS."""
+    by start, then kind as listed in KINDS. A column of that name is replaced."""
+    docs = docs.drop("secret_spans")
     bound_batches(docs.sparkSession)
     field = trained()
     model = (field.weights, field.moves, field.begin)

@@ -128,7 +128,9 @@ def fit(sample: list[tuple[int, np.ndarray]], steps: int = 400, rate: float = 0.
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, reject: float = REJECT) -> DataFrame:
     """The rows of docs with severity double (expected grade, 0 to 3), severity_grade int (its nearest grade) and
-    toxic_rejected boolean (severity >= reject). docs has doc_id and text, labels doc_id and toxic."""
+    toxic_rejected boolean (severity >= reject). docs has doc_id and text, labels doc_id and toxic;
+    columns of these names are replaced."""
+    docs = docs.drop("severity", "severity_grade", "toxic_rejected")
     bound_batches(docs.sparkSession)
     model = fit(labelled_sample(docs, labels, sample_rows))
     new = StructType([StructField("severity", DoubleType()), StructField("severity_grade", IntegerType())])

@@ -421,6 +421,18 @@ def test_contaminations_against_brute_force(spark, odd, empty):
     assert decontamination.drop_contaminated(empty, odd_bench).count() == 0
 
 
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh"), (2, None)], ODD_SCHEMA)
+    for name in ("secret_spans", "test_items", "severity", "severity_grade", "toxic_rejected", "_h"):
+        df = df.withColumn(name, F.lit("x"))
+    assert [r.text for r in secrets.redact(secrets.find_secrets(df)).orderBy("doc_id").collect()] == ["[SECRET]", None]
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(df, none).where("toxic_rejected").count() == 0
+    bench = spark.createDataFrame([(1, "token abcdefgh")], "item_id long, text string")
+    assert [r.doc_id for r in decontamination.drop_contaminated(df, bench).collect()] == [2]
+    assert decontamination.contaminations(df, bench).count() == 1
+
+
 # neighbours
 
 
