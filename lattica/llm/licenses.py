@@ -38,6 +38,8 @@ SENTENCES = {
     "GPL_FREE": "This program is free software",
     "GPL2_LATER": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
     "GPL3_LATER": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "GPL2_NOTICE": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "GPL3_NOTICE": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
     "GPL_WARRANTY": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "GPL_SEE": "See the GNU General Public License for more details",
     "MPL2_GRANT": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
@@ -60,7 +62,7 @@ NAMES = {
     "CC-BY-SA-4.0": ["CC BY-SA 4.0", "CC-BY-SA-4.0"],
     "CC-BY-NC-4.0": ["CC BY-NC 4.0", "CC-BY-NC-4.0"],
     "ISC": ["ISC License", "ISC"],
-}
+} | {f"{x}-{which}": [f"{x}-{which}"] for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for which in ("only", "or-later")}
 # How short statements begin.
 OPENINGS = ["released under", "licensed under", "distributed under", "available under", "published under", "this work is licensed under", "this file is licensed under", "this project is licensed under", "this software is licensed under", "this software is released under", "this code is released under", "this text is licensed under"]
 # Licence rules, first match wins; each is a sequence of sentence identifiers.
@@ -73,6 +75,8 @@ RULES = [
     ("Apache-2.0", ["APACHE_GRANT"]),
     ("GPL-3.0-or-later", ["GPL_FREE", "GPL3_LATER"]),
     ("GPL-2.0-or-later", ["GPL_FREE", "GPL2_LATER"]),
+    ("GPL-3.0-or-later", ["GPL3_NOTICE"]),
+    ("GPL-2.0-or-later", ["GPL2_NOTICE"]),
     ("ISC", ["ISC_GRANT", "ISC_WARRANTY"]),
     ("ISC", ["ISC_GRANT"]),
     ("MPL-2.0", ["MPL2_GRANT"]),
@@ -94,9 +98,15 @@ def normal(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def pieces(sentence: str) -> list[str]:
+    """The normalised sentences that END makes of one; those without an anchor ("2.0" after "v.") tell nothing alone."""
+    cut = map(normal, re.sub(END.replace(r"\z", r"\Z"), "\n", sentence).split("\n"))
+    return [x for x in cut if any(a in x for a in ANCHORS)]
+
+
 def sentence_ids() -> dict[str, str]:
     """Normalised sentence -> identifier; statements such as "released under the MIT License" get SAYS_<licence>."""
-    found = {normal(s): name for name, s in SENTENCES.items()}
+    found = {x: name for name, s in SENTENCES.items() for x in pieces(s)}
     for spdx, names in NAMES.items():
         for name in names:
             for opening in OPENINGS:

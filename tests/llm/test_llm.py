@@ -489,6 +489,31 @@ def test_licences(spark, odd, empty):
     assert json.dumps(sorted(dict(licenses.rules()).values()))
 
 
+MIT_REST = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.'
+BSD2 = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution."
+BSD3 = BSD2 + "\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.'
+APACHE_REST = '\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.'
+GPL = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."
+ISC = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+ISC_REST = '\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS.'
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+# In the order of licenses.RULES.
+NOTICES = [f"{MIT}\n\n{MIT_REST}", MIT, BSD3, BSD2, APACHE + APACHE_REST, APACHE, GPL.format(":", ",", 3), GPL.format(":", ";", 2), GPL.format(";", ";", 3), GPL.format(";", ";", 2), ISC + ISC_REST, ISC, MPL, "This is free and unencumbered software released into the public domain.", "Copyright 2020 A. All rights reserved.", MIT.split("\n\n")[0], BSD2.split("\n\n")[0]]
+
+
+def test_licence_rules_on_real_notices(spark):
+    texts = [*NOTICES, *("# " + x.replace("\n", "\n# ") for x in (MPL, GPL.format(";", ";", 2).split("\n\n")[0]))]
+    expected = [spdx for spdx, _ in licenses.RULES] + ["MPL-2.0", "GPL-2.0-or-later"]
+    for spdx in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"):
+        for tag in (f"{spdx}-only", f"{spdx}-or-later"):
+            texts.append(f"// SPDX-License-Identifier: {tag}\ncode"), expected.append(tag)
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), ODD_SCHEMA)).collect()}
+    assert [got[k].licenses for k in range(len(texts))] == expected
+    for k, (_, ids) in enumerate(licenses.RULES):
+        assert "".join(f"<{x}>" for x in ids) in got[k].paragraph_ids
+
+
 # pipeline
 
 
