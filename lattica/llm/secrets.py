@@ -1,6 +1,7 @@
 """Secret scans: a linear-chain conditional random field over the tokens of a text, beside fixed patterns.
 
-Tokens are what white space separates. Each gets a class from its shape (letters, digits, mixed case, length of its
+Tokens are what white space separates; where such a token holds several candidates or is long (minified JSON, CSV, query
+strings), each of its parts between other signs is a token. Each gets a class from its shape (letters, digits, mixed case, length of its
 longest run of secret characters, keyword, known prefix, sign of assignment and so on). The field scores the tags secret
 begin (B), inside (I) and outside (O) of a token by its own class, the classes of its neighbours, and features of the
 whole text, and of neighbouring tags; Viterbi's algorithm finds the best tagging of the whole text.
@@ -42,6 +43,9 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-",
 B, I, O = range(3)
 CORE = re.compile(r"[A-Za-z0-9+/_.-]{6,}=*")
 RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+#: What no sign cuts in a token. A token is cut if it has SEVERAL runs of the shortest secret in training, or so many signs.
+BODY = re.compile(r"(?:[\w+/.-]|:(?=//))+")
+LEAST, SEVERAL, LONG = 16, 2, 64
 TRIM = ".,;:!?\"'()[]{}<>#$%&*|"
 
 
@@ -54,6 +58,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def cuts(token: str) -> list[int]:
+    """Where the parts of a token that white space separates begin; signs stay with the part before them."""
+    if len(token) <= SEVERAL * LEAST:
+        return [0]
+    bodies = list(BODY.finditer(token))
+    if len(bodies) < 2 or (len(token) < LONG and sum(any(len(x) >= LEAST for x in RUN.findall(b[0])) for b in bodies) < SEVERAL):
+        return [0]
+    return [0, *(b.start() for b in bodies[1:])]
+
+
+def tokens_of(text: str) -> list[str]:
+    found = text.split()
+    if max(map(len, found), default=0) <= SEVERAL * LEAST:
+        return found
+    return [t[a:b] for t in found for c in [cuts(t)] for a, b in zip(c, [*c[1:], len(t)])]
+
+
 def token_class(token: str) -> tuple:
     """The features of a token's shape; few distinct ones, so that their scores are worked out once."""
     bare = token.strip(TRIM)
@@ -162,19 +183,20 @@ class Field:
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Where the secrets lie that the field finds: the longest run of secret characters of each tagged token, tokens
-        tagged inside joined to the one before."""
-        tags = self.tag(text.split())
+        tagged inside joined to the one before if white space parts them."""
+        tags = self.tag(tokens_of(text))
         if not (tags != O).any():
             return []
         found: list[tuple[int, int]] = []
-        for n, m in enumerate(re.finditer(r"\S+", text)):
+        places = ((m.start() + a, m.start() + b, a == 0) for m in re.finditer(r"\S+", text) for c in [cuts(m[0])] for a, b in zip(c, [*c[1:], len(m[0])]))
+        for n, (start, end, first) in enumerate(places):
             if tags[n] == O:
                 continue
-            cores = list(CORE.finditer(text, m.start(), m.end()))
+            cores = list(CORE.finditer(text, start, end))
             if not cores:
                 continue
             core = max(cores, key=lambda c: c.end() - c.start())
-            if tags[n] == I and found and n and tags[n - 1] != O:
+            if tags[n] == I and first and found and n and tags[n - 1] != O:
                 found[-1] = (found[-1][0], core.end())
             else:
                 found.append((core.start(), core.end()))
@@ -285,13 +307,24 @@ def kept_field(key: bytes, model: tuple) -> Field:
     return kept("field", key, lambda: Field(*model))
 
 
+def uncovered(text: str, span: tuple[int, int], base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that no base span (sorted) covers, without those of signs alone."""
+    at, end = span
+    for x, y, _ in [*base, (end, end, "")]:
+        if x > at and any(map(str.isalnum, text[at : min(x, end)])):
+            yield at, min(x, end)
+        at = max(at, y)
+        if at >= end:
+            return
+
+
 def text_spans(text: str | None, field: Field) -> list[tuple[int, int, str]]:
-    """All spans of a text by start, then kind as listed: the base ones, and those of the field that touch none of them."""
+    """All spans of a text by start, then kind as listed: the base ones, and what they leave of those of the field."""
     if not text:
         return []
     found = base_spans(text)
     base = sorted(found)
-    found += [(a, b, "crf") for a, b in field.spans(text) if not any(a < y and x < b for x, y, _ in base)]
+    found += [(a, b, "crf") for span in field.spans(text) for a, b in uncovered(text, span, base)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

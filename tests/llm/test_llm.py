@@ -262,6 +262,29 @@ def test_the_field_finds_what_no_pattern_knows_and_leaves_prose():
     assert secrets.text_spans("Plain words stand here, and none of them is a secret at all.", field) == []
 
 
+def test_several_secrets_in_a_token():
+    """Every key of a text without spaces is found, and one beside a base span too."""
+    field, r = secrets.trained(), random.Random(4)
+    some = lambda n: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    forms = ['{{"stripe":"{}","github":"{}"}}', "id,{},name,{},7", "https://www.example.org/a?k={}&sig={}&page=2", "password={};{}", "a='{}';b='{}'"]
+    for form in forms:
+        for _ in range(10):
+            keys = ("sk_live_" + some(24), "ghp_" + some(36)) if not form.startswith("password") else (some(46), "ghp_" + some(36))
+            line = form.format(*keys)
+            covered = {k for a, b, _ in secrets.text_spans(line, field) for k in range(a, b)}
+            for key in keys:
+                assert covered >= set(range(line.index(key), line.index(key) + len(key))), line
+    many = {f"key{k}": "ghp_" + some(36) for k in range(200)}
+    spans = secrets.text_spans(line := json.dumps(many, separators=(",", ":")), field)
+    assert [line[a:b] for a, b, _ in spans] == list(many.values())
+
+
+def test_only_the_covered_part_of_a_span_is_dropped():
+    part = lambda span, *base: list(secrets.uncovered("abcdefghij==", span, [(*x, "hex") for x in base]))
+    assert part((0, 10)) == [(0, 10)] and part((0, 10), (0, 10)) == [] and part((2, 12), (0, 4), (6, 8)) == [(4, 6), (8, 12)]
+    assert part((0, 12), (0, 10)) == [] and part((3, 6), (8, 10)) == [(3, 6)] and part((3, 6), (0, 2), (5, 9)) == [(3, 5)]
+
+
 def test_redaction(spark, odd, empty):
     df = spark.createDataFrame([(1, "é token=abcdefgh x"), (2, None), (3, "clean")], ODD_SCHEMA)
     assert [r.text for r in secrets.redact(secrets.find_secrets(df)).orderBy("doc_id").collect()] == ["é [SECRET] x", None, "clean"]
