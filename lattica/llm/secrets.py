@@ -81,7 +81,7 @@ def token_class(token: str) -> tuple:
     if bare.isalpha() and not bare.isascii():
         return ("word",)
     low = bare.lower()
-    keyword = any(k in low for k in KEYWORDS) if len(low) < 64 else False
+    keyword = any(k in low for k in KEYWORDS)
     if bare.isalpha() and not keyword and len(bare) < 40 and (bare.islower() or bare.istitle()):
         return ("word",)
     if not bare:

@@ -279,6 +279,14 @@ def test_several_secrets_in_a_token():
     assert [line[a:b] for a, b, _ in spans] == list(many.values())
 
 
+def test_key_words_count_in_long_tokens():
+    r = random.Random(6)
+    for form in ("access_key={}", '"credential":"{}"', "auth/{}"):
+        key = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=60))
+        assert "keyword" in secrets.token_class(form.format(key))
+        assert any(line[a:b].endswith(key) for line in [f"see {form.format(key)} here"] for a, b, _ in secrets.text_spans(line, secrets.trained()))
+
+
 def test_only_the_covered_part_of_a_span_is_dropped():
     part = lambda span, *base: list(secrets.uncovered("abcdefghij==", span, [(*x, "hex") for x in base]))
     assert part((0, 10)) == [(0, 10)] and part((0, 10), (0, 10)) == [] and part((2, 12), (0, 4), (6, 8)) == [(4, 6), (8, 12)]
