@@ -104,7 +104,7 @@ class Facts(ast.NodeVisitor):
         literal = repr(node.value) if isinstance(node, ast.Constant) else None
         target = node.func if isinstance(node, ast.Call) else node
         symbol = self.ref(target)["symbol"] if isinstance(target, ast.Name | ast.Attribute) else None
-        return {"name": name, "position": position, "symbol": symbol, "literal": literal, "kind": type(node).__name__, "text": ast.unparse(node)[:500]}
+        return {"name": name, "position": position, "symbol": symbol, "literal": literal, "kind": type(node).__name__, "text": ast.unparse(node)}
 
     # flow
 

@@ -141,6 +141,12 @@ def test_semantic_digests_ignore_places(spark):
     assert da == db != dc
 
 
+def test_semantic_digests_see_the_end_of_long_values(spark):
+    long = ", ".join(map(str, range(1000)))
+    a, b = (Catalog(table(spark, {"m.py": f"def f():\n    return g([{long}, {last}])\n"}), complete({})) for last in ("'a'", "'b'"))
+    assert semantic_digests(a.facts).first().digest != semantic_digests(b.facts).first().digest
+
+
 def test_stream_of_edits(spark, tmp_path):
     schema = "revision long, path string, module_id string, is_package boolean, content string, deleted boolean"
     edits = [(1, "app/service/a.py", "app.service.a", False, "import datetime\n", False), (2, "app/service/a.py", "app.service.a", False, "import datetime\nx = datetime.datetime.now()\n", False)]
