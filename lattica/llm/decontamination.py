@@ -28,6 +28,9 @@ MASKS = ("111111", "11011011", "1110010111", "110101", "11001001")
 #: A document holds an item if so much of the item's words agree where it lies, or so many words in a row of RUN.
 COVERED, RUN, RUN_COVERED = 0.6, 20, 0.8
 
+#: Hits, and words of items, that are looked at together.
+AT_ONCE = 1 << 20
+
 #: Random odd factors for the places of a window.
 ODD = mix(np.arange(1, 65, dtype=np.uint64) * K1) | np.uint64(1)
 
@@ -48,7 +51,10 @@ class Items:
     """Test items ready for the search: all seeds, sorted, with a bit table before them."""
 
     def __init__(self, ids: list, hashes: list[np.ndarray], masks: tuple[str, ...] = MASKS):
-        self.ids, self.hashes, self.masks = ids, hashes, masks
+        self.ids, self.masks = ids, masks
+        self.sizes = np.array([len(h) for h in hashes], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.words = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         seeds, item, place = [], [], []
         for k, h in enumerate(hashes):
             for n, mask in enumerate(masks):
@@ -67,38 +73,70 @@ class Items:
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self.seeds >> np.uint64(64 - self.bits)] = True
 
-    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, shift): word k of the item would be word k + shift of the document."""
-        found: set[tuple[int, int]] = set()
+    def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(items, shifts), distinct within each pair of arrays: word k of the item would be word k + shift of the
+        document. A window that many items share gives many; arrays hold AT_ONCE at most."""
         for n, mask in enumerate(self.masks):
             s = masked(h, mask, n)
             at = np.flatnonzero(self.table[s >> np.uint64(64 - self.bits)])
-            if len(at):
-                low, high = np.searchsorted(self.seeds, s[at]), np.searchsorted(self.seeds, s[at], "right")
-                for p, a, b in zip(at[low < high], low[low < high], high[low < high]):
-                    found.update(zip(self.item[a:b].tolist(), (p - self.place[a:b]).tolist()))
+            low, high = np.searchsorted(self.seeds, s[at]), np.searchsorted(self.seeds, s[at], "right")
+            at, low, times = at[low < high], low[low < high], (high - low)[low < high]
+            upto = np.cumsum(times)
+            cut = 0
+            while cut < len(at):
+                done = int(upto[cut - 1]) if cut else 0
+                end = max(cut + 1, int(np.searchsorted(upto, done + AT_ONCE, "right")))
+                some = times[cut:end]
+                where = np.arange(some.sum()) + np.repeat(low[cut:end] - (np.cumsum(some) - some), some)
+                yield distinct(self.item[where], np.repeat(at[cut:end], some) - self.place[where])
+                cut = end
+        raw = h.tobytes()
         for length, of in self.whole.items():
-            raw = h.tobytes()
-            for p in range(len(h) - length + 1):
-                found.update((k, p) for k in of.get(raw[8 * p : 8 * (p + length)], ()))
-        return found
+            found = [(k, p) for p in range(len(h) - length + 1) for k in of.get(raw[8 * p : 8 * (p + length)], ())]
+            if found:
+                yield distinct(*np.array(found).T)
 
     def overlaps(self, h: np.ndarray) -> dict[int, tuple[int, int, float]]:
-        """item -> (words that agree, where it begins, their share of the item) of its best place, if it is held."""
+        """item -> (words that agree, where it begins, their share of the item) of its best place, if it is held; of
+        several best ones the first."""
         best: dict[int, tuple[int, int, float]] = {}
-        for k, shift in sorted(self.hits(h)):
-            item = self.hashes[k]
-            a, b = max(0, -shift), min(len(item), len(h) - shift)
-            equal = item[a:b] == h[a + shift : b + shift]
-            same = int(equal.sum())
-            held = same >= COVERED * len(item)
-            if not held and len(equal) >= RUN:
-                c = np.concatenate([[0], np.cumsum(equal)])
-                held = (c[RUN:] - c[:-RUN]).max() >= RUN_COVERED * RUN
-            if held and (k not in best or same > best[k][0]):
-                best[k] = (same, shift, same / len(item))
+        for items, shifts in self.hits(h):
+            upto = np.cumsum(self.sizes[items])
+            cut = 0
+            while cut < len(items):
+                end = max(cut + 1, int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + AT_ONCE, "right")))
+                for k, same, shift in zip(*self.held(h, items[cut:end], shifts[cut:end])):
+                    if k not in best or (same, -shift) > (best[k][0], -best[k][1]):
+                        best[k] = (same, shift, same / int(self.sizes[k]))
+                cut = end
         return best
 
+    def held(self, h: np.ndarray, items: np.ndarray, shifts: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+        """Those of the items at their shifts that the document holds, with the number of words that agree: all words of
+        all of them are compared at once."""
+        sizes = self.sizes[items]
+        begin = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
+        there = place + np.repeat(shifts, sizes)
+        equal = (there >= 0) & (there < len(h))
+        equal &= h[np.clip(there, 0, len(h) - 1)] == self.words[place + np.repeat(self.begins[items], sizes)]
+        same = np.add.reduceat(equal, begin)
+        held = same >= COVERED * sizes
+        # RUN words in a row, inside both texts
+        counted = np.concatenate([[0], np.cumsum(equal)])
+        ends = np.minimum(np.arange(len(place)) + RUN, len(place))
+        long_run = (place + RUN <= np.repeat(sizes, sizes)) & (counted[ends] - counted[:-1] >= RUN_COVERED * RUN)
+        shared = np.minimum(sizes, len(h) - shifts) - np.maximum(0, -shifts)
+        held |= (shared >= RUN) & (np.add.reduceat(long_run, begin) > 0)
+        return items[held].tolist(), same[held].tolist(), shifts[held].tolist()
+
+
+def distinct(items: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((shifts, items))
+    items, shifts = items[order], shifts[order]
+    fresh = np.r_[True, (items[1:] != items[:-1]) | (shifts[1:] != shifts[:-1])]
+    return items[fresh], shifts[fresh]
+
 
 HITS = "test_items"
 
