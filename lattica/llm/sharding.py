@@ -6,11 +6,12 @@ up to the target size. The merges are planned on sizes alone, tier after tier, a
 straight from the smallest shards it is made of, so data are not rewritten at every tier. A task merges one group, whose
 bytes the target bounds, row group by row group; there is no shuffle.
 
-What exists is what the newest manifest says: a manifest lists all live shards of a version, is written beside its place
-and moved there only if no other writer has committed that version, and is never changed. A reader of an older version
+What exists is what the newest manifest says: a manifest tells what a version adds and drops (one in WHOLE lists all live
+shards), is written beside its place and moved there only if no other writer has committed that version, and is never
+changed. A reader of an older version
 keeps its files until vacuum(). Files of failed tasks are named in no manifest.
 
-Defined results: rows are kept as they are, repeated ones, nulls and extra columns included; their order in a shard is the
+Defined results: rows are kept as they are, repeated ones, nulls and extra columns (also one named _shard) included; their order in a shard is the
 order of the merged shards; an empty arrival commits a version without new shards.
 """
 
@@ -29,6 +30,8 @@ from .text import shared_folder
 FAN = 4
 #: Bytes that a merged shard should have, and those below which all shards are of the lowest tier.
 TARGET, SMALLEST = 128 << 20, 1 << 20
+#: Of so many manifests one lists all shards.
+WHOLE = 16
 #: Rows of an arriving shard.
 ARRIVAL_ROWS = 2000
 
@@ -47,16 +50,33 @@ class Shards:
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> dict:
+        """version, schema and shards of a version (by default the newest): what its manifest and those before it, back to
+        one that lists all shards, have added and dropped."""
         if version is None:
             version = max(self.versions(), default=0)
         if not version:
             return {"version": 0, "shards": [], "schema": None}
+        steps = [self._step(version)]
+        while not steps[-1]["whole"]:
+            steps.append(self._step(steps[-1]["version"] - 1))
+        live: dict[str, int] = {}
+        for step in reversed(steps):
+            for path in step["drop"]:
+                del live[path]
+            live |= {s["path"]: s["bytes"] for s in step["add"]}
+        return {"version": version, "schema": steps[0]["schema"], "shards": [{"path": p, "bytes": n} for p, n in live.items()]}
+
+    def _step(self, version: int) -> dict:
         return json.loads(read_text(self.spark, f"{self.folder}/manifests/v{version:08d}.json"))
 
-    def commit(self, base: dict, shards: list[dict], schema: str | None) -> int:
-        """Commits what follows base; fails if another writer was first."""
+    def commit(self, base: dict, add: list[dict], drop: list[str], schema: str | None) -> int:
+        """Commits what follows base; fails if another writer was first. Only every WHOLE-th manifest lists all shards,
+        others what changed, so a commit writes as much as it changes."""
         version = base["version"] + 1
-        text = json.dumps({"version": version, "schema": schema or base["schema"], "shards": shards}, indent=0)
+        if whole := version % WHOLE == 1:
+            gone = set(drop)
+            add, drop = [s for s in base["shards"] if s["path"] not in gone] + add, []
+        text = json.dumps({"version": version, "schema": schema or base["schema"], "whole": whole, "add": add, "drop": drop}, indent=0)
         if not commit_text(self.spark, f"{self.folder}/manifests/v{version:08d}.json", text):
             raise RuntimeError(f"version {version} was committed by another writer")
         return version
@@ -67,7 +87,7 @@ class Shards:
         arrivals.write.option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(f"{self.folder}/{to}")
         fs, path = hadoop_path(self.spark, f"{self.folder}/{to}")
         new = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(path) if s.getPath().getName().startswith("part-"))
-        return self.commit(base, base["shards"] + [{"path": f"{to}/{name}", "bytes": size} for name, size in new], arrivals.schema.json())
+        return self.commit(base, [{"path": f"{to}/{name}", "bytes": size} for name, size in new], [], arrivals.schema.json())
 
     def compact(self, target: int = TARGET, fan: int = FAN, smallest: int = SMALLEST) -> int:
         """Merges runs of similar sizes and commits the outcome; returns the version."""
@@ -89,13 +109,12 @@ class Shards:
                     yield pa.RecordBatch.from_arrays([pa.array([job], pa.int64()), pa.array([name]), pa.array([size], pa.int64())], names=["job", "path", "bytes"])
 
         # one row for each file written; their number is the data's size over the target
-        done = {r["job"]: r for r in df.mapInArrow(merge, "job long, path string, bytes long").collect()}
-        number = {g[0]: k for k, g in enumerate(merged)}
-        new = [{k: done[number[g[0]]][k] for k in ("path", "bytes")} if len(g) > 1 else shards[g[0]] for g in groups]
-        return self.commit(base, new, None)
+        done = df.mapInArrow(merge, "job long, path string, bytes long").orderBy("job").collect()
+        return self.commit(base, [{"path": r["path"], "bytes": r["bytes"]} for r in done], [shards[i]["path"] for g in merged for i in g], None)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version (the newest by default), with the column _shard: the path of a row's shard."""
+        """The rows of a version (the newest by default), with one more column, the path of a row's shard. It is called as
+        shard_column() says: _shard, with more lines in front where the rows have a column of that name."""
         from pyspark.sql.types import StructType
 
         found = self.manifest(version)
@@ -103,9 +122,9 @@ class Shards:
             raise ValueError("nothing was appended yet")
         schema = StructType.fromJson(json.loads(found["schema"]))
         if not found["shards"]:
-            return self.spark.createDataFrame([], schema).withColumn("_shard", F.lit(""))
+            return self.spark.createDataFrame([], schema).withColumn(shard_column(schema.names), F.lit(""))
         df = self.spark.read.schema(schema).parquet(*(f"{self.folder}/{s['path']}" for s in found["shards"]))
-        return df.withColumn("_shard", F.regexp_extract(F.col("_metadata.file_path"), r"((arrivals/[^/]+|merged)/[^/]+)$", 1))
+        return df.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"((arrivals/[^/]+|merged)/[^/]+)$", 1).alias(shard_column(schema.names)))
 
     def vacuum(self, keep: int = 1) -> int:
         """Deletes the files that only versions before the newest `keep` name, and returns their number."""
@@ -118,6 +137,13 @@ class Shards:
         return len(dead)
 
 
+def shard_column(columns: list[str]) -> str:
+    name, taken = "_shard", {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def tier(size: int, fan: int, smallest: int) -> int:
     n = 0
     while size >= smallest * fan ** (n + 1):
@@ -139,7 +165,8 @@ def plan_merges(sizes: list[int], target: int = TARGET, fan: int = FAN, smallest
                 last.append(r)
             else:
                 joined.append([r])
-        rest = [r for r in runs if not any(r is x for x in own)]
+        mine = set(map(id, own))
+        rest = [r for r in runs if id(r) not in mine]
         for group in joined:
             if len(group) >= fan or len(group) > 1 and sum(x[1] for x in group) > target // 2:
                 rest.append((sorted(k for x in group for k in x[0]), sum(x[1] for x in group)))
@@ -180,4 +207,4 @@ def shard_digest(docs: DataFrame, target: int = TARGET) -> DataFrame:
     shards.compact(target)
     shards.vacuum()
     text = F.col("text").cast("binary")
-    return shards.read().select("doc_id", F.col("_shard").alias("shard"), F.octet_length(text).cast("long").alias("text_bytes"), F.sha2(text, 256).alias("text_sha256"))
+    return shards.read().select("doc_id", F.col(shard_column(docs.columns)).alias("shard"), F.octet_length(text).cast("long").alias("text_bytes"), F.sha2(text, 256).alias("text_sha256"))
