@@ -7,8 +7,8 @@ Labels say only whether a text is toxic, so graded targets are made from them: w
 found by their log-odds, and a toxic text is graded 1 to 3 by how many different ones of these it holds. Texts that are
 not toxic have grade 0.
 
-The model is fitted on a bounded sample of labelled rows (sample_rows, chosen by a hash of the id; what reaches the driver
-is one list of bucket numbers a row). Scoring is one pass over all rows and whole texts, without a shuffle; the weights
+The model is fitted on a bounded sample of labelled rows (sample_rows, chosen by a hash of the id). Their buckets are
+counted in place; what reaches the driver is the counts and, for each row, the few buckets that are worth a weight. Scoring is one pass over all rows and whole texts, without a shuffle; the weights
 are a table of fixed size that is shipped with the task.
 
 Defined results: a null or empty text has no features and gets the severity of the intercepts alone, that is the clean
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .text import Cache, bound_batches, kept, plain_words
+from .text import Cache, bound_batches, kept, plain_words, written
 
 BUCKETS = 1 << 18
 GRADES = 3
@@ -34,6 +34,8 @@ GRADES = 3
 PREFIXES = (4, 5, 6)
 #: From this expected severity on a text is rejected.
 REJECT = 0.5
+#: Penalty on squared weights.
+RIDGE = 0.0003
 
 
 def word_buckets(word: bytes) -> tuple[int, ...]:
@@ -48,8 +50,29 @@ def buckets_of(words: list[bytes], cache: Cache) -> np.ndarray:
     return np.array(sorted(set().union(*map(cache.__getitem__, set(words)))), np.int32)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> list[tuple[int, np.ndarray]]:
-    """(toxic, buckets) of at most sample_rows labelled rows, one of each set of words, in a fixed order."""
+class Sample:
+    """Of labelled rows, one of each set of words and label: toxic (0 or 1), and cells, those of a row's buckets that are
+    worth a weight. kept: all such buckets, sorted; marks: those of them that come mostly in toxic rows."""
+
+    def __init__(self, toxic: np.ndarray, cells: list[np.ndarray], kept: np.ndarray, marks: np.ndarray):
+        self.toxic, self.cells, self.kept, self.marks = toxic, cells, kept, marks
+
+    def grades(self) -> np.ndarray:
+        """1 to GRADES of a toxic row by how many marks it holds, 0 of others."""
+        held = np.array([np.isin(c, self.marks).sum() for c in self.cells], int)
+        return np.where(self.toxic > 0, np.clip(held, 1, GRADES), 0)
+
+
+def worth(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """(worth a weight, a mark) of buckets that so many toxic and clean rows hold: enough toxic rows do, and few others."""
+    enough = toxic >= max(4, 0.01 * n_toxic)
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    return enough & (odds > 2), enough & (odds > 2.5)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Sample:
+    """Of at most sample_rows labelled rows. Buckets are counted where the rows are; the driver gets the counts of buckets
+    that enough toxic rows hold (at most BUCKETS of them), and then each row's buckets among those worth a weight."""
     some = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     schema = StructType([StructField("toxic", IntegerType()), StructField("x", ArrayType(IntegerType()))])
@@ -62,10 +85,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> lis
             yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(rows, arrow.field("x").type)], schema=arrow)
 
     # the sample is of sample_rows rows at most, so it may be broadcast
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", "text")
-    table = joined.mapInArrow(of, schema).toArrow()
-    found = {(y, np.asarray(x, np.int32).tobytes()) for y, x in zip(table["toxic"].to_pylist(), table["x"].to_pylist())}
-    return [(y, np.frombuffer(x, np.int32)) for y, x in sorted(found)]
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), "text")
+    rows = written(joined.mapInArrow(of, schema).distinct())
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    counts = rows.select("toxic", F.explode("x").alias("bucket")).groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = counts.where(F.col("t") >= max(4, 0.01 * n_toxic)).orderBy("bucket").toPandas()
+    has_weight, is_mark = worth(counts["t"].to_numpy(float), counts["c"].to_numpy(float), n_toxic, n_clean)
+    buckets = counts["bucket"].to_numpy(np.int32)
+    wanted = buckets[has_weight]
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.intersect1d(np.asarray(x, np.int32), wanted) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, arrow.field("x").type)], schema=arrow)
+
+    table = rows.mapInArrow(cells, schema).toArrow()
+    found = sorted(zip(table["toxic"].to_pylist(), table["x"].to_pylist()))
+    return Sample(np.array([y for y, _ in found], int), [np.array(x, int) for _, x in found], wanted, buckets[is_mark])
 
 
 class Ordinal:
@@ -79,28 +116,13 @@ class Ordinal:
         return (1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -40, 40)))).sum(1)
 
 
-def grade(sample: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The grade of each row, and the buckets worth a weight: those that enough toxic rows have, and few others."""
-    toxic = [x for y, x in sample if y]
-    clean = [x for y, x in sample if not y]
-    count = lambda rows: np.bincount(np.concatenate(rows), minlength=BUCKETS) if rows else np.zeros(BUCKETS)
-    a, b = count(toxic), count(clean)
-    least = max(4, 0.01 * len(toxic))
-    odds = np.log((a + 0.5) / (len(toxic) + 1)) - np.log((b + 0.5) / (len(clean) + 1))
-    marks = (a >= least) & (odds > 2.5)
-    kept = np.flatnonzero((a >= least) & (odds > 2))
-    grades = np.array([min(GRADES, max(1, int(marks[x].sum()))) if y else 0 for y, x in sample])
-    return grades, kept
-
-
-def fit(sample: list[tuple[int, np.ndarray]], steps: int = 400, rate: float = 0.05, ridge: float = 0.0003) -> Ordinal:
+def fit(sample: Sample, steps: int = 400, rate: float = 0.05, ridge: float = RIDGE) -> Ordinal:
     """Maximum likelihood of the grades with a ridge penalty, by gradient ascent (Adam) with a falling rate."""
-    if len({y for y, _ in sample}) < 2:
+    if len(set(sample.toxic.tolist())) < 2:
         return Ordinal(np.zeros(0, int), np.zeros(0), np.array([20.0, 21.0, 22.0]))
-    grades, kept = grade(sample)
-    n, size, place = len(sample), len(kept), np.full(BUCKETS, -1)
-    place[kept] = np.arange(size)
-    cells = [place[own][place[own] >= 0] for _, own in sample]
+    grades, kept = sample.grades(), sample.kept
+    n, size = len(grades), len(kept)
+    cells = [np.searchsorted(kept, c) for c in sample.cells]
     row, col = np.repeat(np.arange(n), [len(c) for c in cells]), np.concatenate([*cells, np.zeros(0, int)]).astype(int)
     share = np.clip((grades[:, None] > np.arange(GRADES)).mean(0), 1e-4, 1 - 1e-4)
     # the first cut, and logarithms of the steps to the others, which keeps cuts ascending
