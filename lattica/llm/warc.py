@@ -36,6 +36,8 @@ from .text import bound_batches, shared_folder, written
 
 #: Bytes from which on equal payloads are stored once, and plain bytes after which a frame ends.
 LEAST, FRAME = 1000, 1 << 20
+#: Plain bytes of the frames that one task reads back, about.
+READ = 16 << 20
 #: Parts into which the pages of one payload are dealt when the kept id is joined to them.
 SALTS = 32
 # Magic numbers of the Zstandard seekable format, and the WARC profile of revisit records.
@@ -183,7 +185,8 @@ RECORD = "page_id long, archive_page_id long, record_type string, url string, pa
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """The records that index names: page_id, archive_page_id (the id in the record itself), record_type, url,
     payload_digest (hexadecimal; that of the record), refers_to, http_bytes (the payload's length by the record's HTTP
-    head) and payload (null in revisits). Rows are dealt by archive and frame, and each frame is opened once."""
+    head) and payload (null in revisits). Rows are dealt by archive and frame to tasks of about READ plain bytes, and each
+    frame is opened once."""
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -214,7 +217,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         if reader:
             reader.file.close()
 
-    dealt = index.repartition("archive", "frame").sortWithinPartitions("archive", "frame", "frame_offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = index.repartition(max(1, -(-total // READ)), "archive", "frame").sortWithinPartitions("archive", "frame", "frame_offset")
     return dealt.select(*(x.split()[0] for x in INDEX.split(", "))).mapInArrow(read, RECORD)
 
 
