@@ -82,7 +82,7 @@ def token_class(token: str) -> tuple:
         return ("word",)
     low = bare.lower()
     keyword = any(k in low for k in KEYWORDS)
-    if bare.isalpha() and not keyword and len(bare) < 40 and (bare.islower() or bare.istitle()):
+    if bare.isalpha() and not keyword and (bare.islower() or bare.istitle()):
         return ("word",)
     if not bare:
         return ("assigns",) if token in ("=", ":", ":=", "=>") else ("signs",)
@@ -331,9 +331,20 @@ def text_spans(text: str | None, field: Field) -> list[tuple[int, int, str]]:
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def masked(text: str | None, spans: list[tuple[int, int, str]], mask: str) -> str | None:
+    """The text with mask in place of each run of overlapping spans, which come by start."""
+    at, parts = 0, []
+    for a, b, _ in spans:
+        if a >= at:
+            parts += [text[at:a], mask]
+        at = max(at, b)
+    return "".join([*parts, text[at:]]) if spans else text
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text", mask: str | None = None) -> DataFrame:
     """The rows of docs with one more column, secret_spans array<struct<kind, start, end>>: code points, end exclusive,
-    by start, then kind as listed in KINDS. A column of that name is replaced."""
+    by start, then kind as listed in KINDS. A column of that name is replaced. With mask, each run of overlapping spans in
+    the texts is replaced by it; the spans are those of the texts as they were."""
     docs = docs.drop("secret_spans")
     bound_batches(docs.sparkSession)
     field = trained()
@@ -345,24 +356,21 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = kept_field(key, model)
         for batch in batches:
-            spans = [[{"kind": k, "start": a, "end": b} for a, b, k in text_spans(t, here)] for t in batch.column(names.index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*names, "secret_spans"])
-
-    names = docs.columns
+            texts = batch.column(at).to_pylist()
+            found = [text_spans(t, here) for t in texts]
+            columns = list(batch.columns)
+            if mask is not None:
+                columns[at] = pa.array([masked(t, s, mask) for t, s in zip(texts, found)], columns[at].type)
+            spans = [[{"kind": k, "start": a, "end": b} for a, b, k in s] for s in found]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[*names, "secret_spans"])
+
+    names, at = docs.columns, docs.columns.index(text_col)
     return docs.mapInArrow(scan, schema)
 
 
-def redact(found: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """What find_secrets() returned, each run of overlapping spans in the text replaced by mask, without secret_spans."""
-    text = F.col(text_col)
-    first = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc, s):
-        kept = F.when(s["start"] >= acc["pos"], F.array_append(acc["parts"], F.concat(F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mask)))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), kept.alias("parts"))
-
-    done = F.aggregate("secret_spans", first, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["pos"] + 1)))
-    return found.withColumn(text_col, F.when(F.size("secret_spans") > 0, done).otherwise(text)).drop("secret_spans")
+def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """The rows of docs with mask in place of each secret of their texts, in one pass; a column secret_spans goes."""
+    return find_secrets(docs, text_col, mask).drop("secret_spans")
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
