@@ -12,13 +12,18 @@ The global order of n-grams is the order of their hashes. It is cut into fragmen
 2. To drop chance candidates. Sets that share a passage may share a signature. The order is cut once more, evenly into
    about half as many parts as a set has n-grams, and the numbers of n-grams in the parts are kept. The sum of their
    differences is at most what two sets differ by, so a pair with a larger sum can't link. Blocks of up to SMALL sets with
-   one signature give all their pairs; in larger ones sets are joined breadth first, each being compared only with those
-   not joined yet, so a group of near copies costs about as many comparisons as it has members.
-3. To count. Sets that candidates tie together form clusters. A cluster's sets are dealt by size to chunks of CHUNK, and
-   pairs of chunks whose sizes can link are tiles. For each tile and fragment a task counts the partial overlaps of all
-   pairs as one matrix product; the matrices of a tile's fragments are then summed, pair by pair, and every sum is compared
-   with the threshold exactly. What leaves a tile is a row for each set (its number of links and the root of its links in
-   the tile), not a row for each pair.
+   one signature give all their pairs. Larger ones are dealt by hash to chunks whose tables of counts have a bounded size;
+   a task takes two chunks and joins their sets breadth first, each being compared only with those not joined yet, so a
+   group of near copies costs about as many comparisons as it has members.
+3. To count. Sets that candidates tie together form clusters. A cluster of more than CHUNK sets is dealt to bands of sizes,
+   four to the ratio that links allow, and a band to chunks of about CHUNK by hash; pairs of chunks whose bands can link are
+   tiles. For each tile and fragment a task counts the partial overlaps of all pairs as one matrix product; the matrices of
+   a tile's fragments are then summed, pair by pair, and every sum is compared with the threshold exactly. What leaves a
+   tile is a row for each set (its number of links and the root of its links in the tile), not a row for each pair.
+
+Hot keys are split. A signature that occurs HOT times or more among the sets that a task has at hand is dealt by document,
+and one row of it goes the common way to show others that it is shared. Joins on a key that very many rows have (copies of
+one set, a cluster, a node of the link graph) are told apart by counts: see hot_join().
 
 Equal sets are one class with one representative throughout; copies never meet as pairs. Links between classes are joined
 to components. Every intermediate table is written to the shared folder.
@@ -31,17 +36,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, hot_join
 from .text import K1, K2, K3, K4, S32, SPACED, bound_batches, hashed_words, mix, written
 
-#: Sets of a block that are compared pair by pair, and sets up to which a block is searched at all; larger ones are tied
-#: together as they are, which costs comparisons later but loses nothing.
-SMALL, SEARCHED = 6, 8192
-#: Sets of a tile's side, and n-grams of a fragment that is counted at once.
-CHUNK, FRAGMENT = 256, 2048
+#: Sets of a block that are compared pair by pair; larger blocks are searched breadth first.
+SMALL = 6
+#: Cells of the table of counts of a searched chunk, two of which a task compares.
+CELLS = 1 << 21
+#: Times a signature occurs among the sets at hand from which on it is dealt by document, and to how many places.
+HOT, DEALT = 64, 256
+#: Sets of a tile's side, bands of sizes to the ratio of linked sets, and n-grams of a fragment that is counted at once.
+CHUNK, BANDS, FRAGMENT = 256, 4, 256
 #: Distinct sets a task remembers so that copies in its partition emit nothing twice.
 SEEN = 200_000
 
@@ -152,13 +160,28 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(of, "doc_id long, n_shingles long, k1 long, k2 long, parts binary")
 
 
+SIGNATURES = "sig long, place int, doc_id long, shared boolean"
+
+
+def placed(sig: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """Rows of SIGNATURES. place is 0 but for signatures that occur HOT times or more here: these are dealt by document,
+    and their first row goes to place 0 too. shared: others have this signature for certain."""
+    _, first, where, times = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
+    hot = times[where] >= HOT
+    place = np.where(hot, 1 + (mix(doc.view(np.uint64)) % np.uint64(DEALT)).astype(np.int32), 0).astype(np.int32)
+    shown = first[times >= HOT]
+    sig, doc = np.concatenate([sig, sig[shown]]), np.concatenate([doc, doc[shown]])
+    place, hot = np.concatenate([place, np.zeros(len(shown), np.int32)]), np.concatenate([hot, np.ones(len(shown), bool)])
+    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(place), pa.array(doc), pa.array(hot)], names=["sig", "place", "doc_id", "shared"])
+
+
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """sig, doc_id; of the copies of a set in a partition only the first emits."""
+    """Of the copies of a set in a partition only the first emits."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = Classes(num, den), set()
+        sigs, ids, total = [], [], 0
         for b in batches:
-            sigs, ids, total = [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 x = ngrams(text, n)
                 if doc is None or not len(x) or (key := _keys(x)) in seen:
@@ -169,58 +192,56 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 sigs.append(classes.signatures(x)), ids.append(np.full(len(sigs[-1]), doc, np.int64))
                 total += len(sigs[-1])
                 if total > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], names=["sig", "doc_id"])
+                    yield placed(np.concatenate(sigs), np.concatenate(ids))
                     sigs, ids, total = [], [], 0
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], names=["sig", "doc_id"])
+        if total:
+            yield placed(np.concatenate(sigs), np.concatenate(ids))
 
-    return docs.mapInArrow(of, "sig long, doc_id long")
+    return docs.mapInArrow(of, SIGNATURES)
 
 
 BLOCKS = "kind int, a long, b long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (sig, doc_id), sorted, of signatures that several sets have. kind 0: a pair (a, b) of a small block; kind
-    1: set b of the block a; kind 2: sets a and b are neighbours in a block that is not searched."""
-    tail_sig, tail_doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def out(sig: np.ndarray, doc: np.ndarray) -> pa.RecordBatch | None:
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])] if len(sig) else np.zeros(0, bool)
-        sig, doc = sig[fresh], doc[fresh]
-        if not len(sig):
-            return None
-        begin = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    """From rows (sig, place, doc_id, shared), sorted, of signatures that several sets have. kind 0: a pair (a, b) of a
+    small block; kind 1: set b of the block a."""
+
+    def out(sig: np.ndarray, place: np.ndarray, doc: np.ndarray, shared: np.ndarray) -> pa.RecordBatch | None:
+        begin = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (place[1:] != place[:-1])])
+        known = np.repeat(np.logical_or.reduceat(shared, begin), np.diff(np.r_[begin, len(sig)]))
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]
+        sig, place, doc, known = sig[fresh], place[fresh], doc[fresh], known[fresh]
+        begin = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (place[1:] != place[:-1])])
         size = np.diff(np.r_[begin, len(sig)])
         parts = []
         for m in range(2, SMALL + 1):
-            at = begin[size == m]
+            at = begin[(size == m) & ~known[begin]]
             parts += [(np.zeros(len(at), np.int32), doc[at + i], doc[at + j]) for i in range(m) for j in range(i + 1, m)]
-        of = np.repeat(size, size)
-        large = (of > SMALL) & (of <= SEARCHED)
+        large = (np.repeat(size, size) > SMALL) | known
         parts.append((np.ones(int(large.sum()), np.int32), sig[large], doc[large]))
-        huge = np.flatnonzero((of[1:] > SEARCHED) & (sig[1:] == sig[:-1]))
-        parts.append((np.full(len(huge), 2, np.int32), doc[huge], doc[huge + 1]))
         kind, a, b = (np.concatenate(x) for x in zip(*parts))
         if not len(kind):
             return None
         rows = np.unique(np.stack([kind.astype(np.int64), a, b]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), pa.array(rows[1]), pa.array(rows[2])], names=["kind", "a", "b"])
 
+    held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)]
     for batch in batches:
-        sig = np.concatenate([tail_sig, batch.column(0).to_numpy()])
-        doc = np.concatenate([tail_doc, batch.column(1).to_numpy()])
-        if not len(sig):
-            continue
-        cut = int(np.searchsorted(sig, sig[-1]))
-        if len(sig) - cut > 16 * SEARCHED:
-            cut = len(sig) - 2 * SEARCHED  # of a block that is not searched, all but a tail that shows its size
-        if cut < 50_000 and len(sig) - cut < 50_000:
-            cut = 0  # gather more rows first
-        if cut and (b := out(sig[: cut + (sig[cut] == sig[cut - 1])], doc[: cut + (sig[cut] == sig[cut - 1])])):
+        held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
+        sig, place, doc, _ = held
+        if len(sig) < 50_000:
+            continue  # gather more rows first
+        last = np.flatnonzero((sig != sig[-1]) | (place != place[-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if len(sig) - cut > 25_000:  # of a large block, all but a tail that shows that it is large
+            cut, start = len(sig) - 8 * SMALL, cut
+            if min(len(np.unique(doc[start:cut])), len(np.unique(doc[cut:]))) <= SMALL:
+                continue
+        if b := out(*(h[:cut] for h in held)):
             yield b
-        tail_sig, tail_doc = sig[cut:], doc[cut:]
-    if b := out(tail_sig, tail_doc):
+        held = [h[cut:] for h in held]
+    if len(held[0]) and (b := out(*held)):
         yield b
 
 
@@ -240,12 +261,13 @@ def _may_link_pairs(num: int, den: int):
 
 
 def _search_blocks(num: int, den: int):
-    """Ties of each block (rows: block, doc_id, n, parts, sorted by block and n): a forest that joins all its sets that may
-    link, directly or through others."""
+    """Ties of each two chunks of a block (rows: block, i, j, doc_id, n, parts, sorted by block, i, j and n): a forest that
+    joins all their sets that may link, directly or through others."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for _, rows in _groups(batches, 1):
+        for _, rows in _groups(batches, 3):
+            rows = list({r[0]: r for r in rows}.values())  # repeated rows
             out += forest([r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows], num, den)
             if len(out) > 20_000:
                 yield _batch(out, ["u", "v"], TIES)
@@ -259,8 +281,6 @@ def _search_blocks(num: int, den: int):
 def forest(docs: list[int], sizes: np.ndarray, parts: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
     """Breadth first over sets in the order of their sizes; counts are compared in as many parts as the smallest has."""
     size = min(map(len, parts))
-    while size > 1 and len(docs) * size > 1 << 22:  # a bound for the table's memory; fewer parts only let more pairs pass
-        size //= 2
     full = np.array([max(p) == 255 for p in parts])
     table = np.stack([folded(np.frombuffer(p, np.uint8), size) for p in parts])
     left, found = np.ones(len(docs), bool), []
@@ -319,34 +339,30 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[tuple,
         yield key, held
 
 
-SEGMENT = "cluster long, i int, j int, fragment int, chunk int, n long, doc_id long, k1 long, copies long, grams binary"
-PARTIAL = "cluster long, i int, j int, fragment int, docs array<long>, sizes array<long>, copies array<long>, rows int, overlaps binary"
+SEGMENT = "cluster long, chunk long, fragment int, n long, doc_id long, k1 long, copies long, grams binary"
+PARTIAL = "cluster long, i long, j long, fragment int, docs array<long>, sizes array<long>, copies array<long>, rows int, lengths binary, apart binary"
 
 
 def _segments(members: DataFrame, n: int) -> DataFrame:
-    """A row for each tile and fragment of each member (columns doc_id, text, k1, k2, cluster, chunk, copies, fragments, tiles)."""
+    """A row for each fragment of each member (columns doc_id, text, k1, k2, cluster, chunk, copies, fragments)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SEGMENT.split(", ")]
         for b in batches:
-            out, size = [], 0
-            for doc, text, k1, k2, cluster, chunk, copies, fragments, tiles in zip(*(c.to_pylist() for c in b.columns)):
+            out = []
+            for doc, text, k1, k2, cluster, chunk, copies, fragments in zip(*(c.to_pylist() for c in b.columns)):
                 x = ngrams(text, n)
                 if _keys(x) != (k1, k2):
                     continue  # another text of the same id
                 at = np.searchsorted(((x >> S32) * np.uint64(fragments)) >> S32, np.arange(fragments + 1))
-                for f in range(fragments):
-                    grams = x[at[f] : at[f + 1]].tobytes()
-                    for tile in tiles:
-                        out.append((cluster, tile["i"], tile["j"], f, chunk, len(x), doc, k1, copies, grams))
-                        size += len(grams)
-                    if size > 8 << 20:
-                        yield _batch(out, names, SEGMENT)
-                        out, size = [], 0
+                out += [(cluster, chunk, f, len(x), doc, k1, copies, x[at[f] : at[f + 1]].tobytes()) for f in range(fragments)]
+                if len(out) > 2000:
+                    yield _batch(out, names, SEGMENT)
+                    out = []
             if out:
                 yield _batch(out, names, SEGMENT)
 
-    return members.select("doc_id", "text", "k1", "k2", "cluster", "chunk", "copies", "fragments", "tiles").mapInArrow(of, SEGMENT)
+    return members.select("doc_id", "text", "k1", "k2", "cluster", "chunk", "copies", "fragments").mapInArrow(of, SEGMENT)
 
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
@@ -358,16 +374,23 @@ def _batch(rows: list[tuple], names: list[str], schema: str) -> pa.RecordBatch:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The partial overlaps of a tile in a fragment; rows come sorted by tile, fragment, chunk, n, doc_id and k1."""
+    """The partial overlaps of a tile in a fragment; rows come sorted by tile, fragment, chunk, n, doc_id and k1. They are
+    told as what they lack of the most they could be, in the narrowest integers: near copies lack little, so the matrices
+    are small when they are shuffled."""
     names = [x.split()[0] for x in PARTIAL.split(", ")]
     out, size = [], 0
     for (cluster, i, j, fragment), rows in _groups(batches, 4):
         rows = list({(r[0], r[2], r[3]): r for r in rows}.values())  # repeated rows
         sets = [np.frombuffer(r[5], np.uint64) for r in rows]
         first = sum(r[0] == i for r in rows)
+        if i != j and first in (0, len(rows)):
+            continue  # one of the chunks is empty
         counts = partial_overlaps(sets[:first], sets[first:] if i != j else None)
-        out.append((cluster, i, j, fragment, [r[2] for r in rows], [r[1] for r in rows], [r[4] for r in rows], first, counts.tobytes()))
-        size += counts.nbytes + 24 * len(rows)
+        lengths = np.array([len(x) for x in sets], np.int32)
+        lack = most_shared(lengths, first) - counts
+        lack = lack.astype(next(k for k in WIDTHS if lack.max() <= np.iinfo(k).max))
+        out.append((cluster, i, j, fragment, [r[2] for r in rows], [r[1] for r in rows], [r[4] for r in rows], first, lengths.tobytes(), lack.tobytes()))
+        size += lack.nbytes + 28 * len(rows)
         if size > 4 << 20:
             yield _batch(out, names, PARTIAL)
             out, size = [], 0
@@ -375,9 +398,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, names, PARTIAL)
 
 
+WIDTHS = (np.uint8, np.uint16, np.int32)
 LINKED = "doc_id long, root long, links long"
 
 
+def most_shared(lengths: np.ndarray, rows: int) -> np.ndarray:
+    """The largest overlaps that sets of these lengths allow: of the first `rows` with the others, or with each other if
+    there are no others."""
+    rest = lengths[rows:] if rows < len(lengths) else lengths
+    return np.minimum(lengths[:rows, None], rest[None, :])
+
+
 def tile_links(docs: np.ndarray, sizes: np.ndarray, copies: np.ndarray, rows: int, counts: np.ndarray, num: int, den: int) -> list[tuple]:
     """(document, smallest document reachable in the tile, documents linked with it), of those that have links."""
     square = rows == len(docs)
@@ -405,8 +436,12 @@ def _sum(num: int, den: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for _, rows in _groups(batches, 3):
-            _, docs, sizes, copies, first, _ = rows[0]
-            total = sum(np.frombuffer(r[5], np.int32) for r in rows).reshape(first, -1)
+            _, docs, sizes, copies, first, _, _ = rows[0]
+            total = 0
+            for *_, lengths, apart in rows:
+                most = most_shared(np.frombuffer(lengths, np.int32), first)
+                kind = next(k for k in WIDTHS if np.dtype(k).itemsize * most.size == len(apart))
+                total = total + most - np.frombuffer(apart, kind).reshape(most.shape)
             out += tile_links(np.array(docs), np.array(sizes), np.array(copies), first, total, num, den)
             if len(out) > 20_000:
                 yield _batch(out, ["doc_id", "root", "links"], LINKED)
@@ -429,52 +464,76 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(_sets(texts, n))
+    rows = sets.count()
     key = ["k1", "k2"]
-    classes = written(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")))
+    usable = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = written(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")))
 
     # candidates: only signatures that several sets have go on
-    by_sig = Window.partitionBy("sig").orderBy("doc_id")
-    shared = _signatures(texts, n, num, den).withColumn("_a", F.lag("doc_id").over(by_sig)).withColumn("_z", F.lead("doc_id").over(by_sig)).where("_a IS NOT NULL OR _z IS NOT NULL").select("sig", "doc_id")
+    by_sig = Window.partitionBy("sig", "place").orderBy("doc_id")
+    signatures = _signatures(texts, n, num, den).withColumn("_a", F.lag("doc_id").over(by_sig)).withColumn("_z", F.lead("doc_id").over(by_sig))
+    shared = signatures.where("shared OR _a IS NOT NULL OR _z IS NOT NULL").select("sig", "place", "doc_id", "shared")
     blocks = written(shared.mapInArrow(_blocks, BLOCKS))
-    about = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("_texts"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts"))
+    about = usable.groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("_texts"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts"))
     # an id with several texts has no one set, so its pairs are candidates as they are
     one, many = about.where("_texts = 1"), about.where("_texts > 1").select("doc_id")
     left, right = (one.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("parts").alias(f"parts_{x}")) for x in "ab")
     pairs = blocks.where("kind = 0").select("a", "b").distinct()
     near = pairs.join(left, "a").join(right, "b").select("a", "b", "parts_a", "n_a", "parts_b", "n_b").mapInArrow(_may_link_pairs(num, den), TIES)
     large = blocks.where("kind = 1").select(F.col("a").alias("block"), F.col("b").alias("doc_id"))
-    searched = large.join(one, "doc_id").select("block", "doc_id", "n", "parts").repartition("block").sortWithinPartitions("block", "n", "doc_id").mapInArrow(_search_blocks(num, den), TIES)
+    # chunks of a block: as many as its table of counts takes, whose width follows from the largest set's size
+    in_blocks = written(large.join(one.select("doc_id", "n"), "doc_id"))
+    sized = in_blocks.groupBy("block").agg(F.count("*").alias("sets"), F.max("n").alias("most"))
+    sized = sized.select("block", "sets", F.ceil(F.col("sets") * F.col("most") / (2 * CELLS)).cast("int").alias("chunks")).where("chunks > 1")
+    chunked = hot_join(in_blocks, sized, ["block"], "sets", in_blocks.count(), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    chunked = chunked.withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    tiled = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("c", "other")).withColumn("j", F.greatest("c", "other"))
+    tiled = tiled.join(one.select("doc_id", "parts"), "doc_id")
+    searched = tiled.select("block", "i", "j", "doc_id", "n", "parts").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "n", "doc_id").mapInArrow(_search_blocks(num, den), TIES)
     odd = pairs.join(many, pairs.a == many.doc_id, "left_semi").union(pairs.join(many, pairs.b == many.doc_id, "left_semi"))
-    odd_large = large.join(many, "doc_id").withColumnRenamed("doc_id", "u").join(large, "block").select("u", F.col("doc_id").alias("v"))
-    unsearched = blocks.where("kind = 2").select("a", "b").union(odd).union(odd_large)
-    copies = sets.join(classes.where("copies > 1"), key).where("doc_id <> rep").select("doc_id", "rep")
-    clusters = components(near.union(searched).union(unsearched).union(copies).toDF("u", "v"))
+    odd_blocks = large.join(many, "doc_id").groupBy("block").agg(F.min("doc_id").alias("v"))
+    odd_large = large.join(odd_blocks, "block").select(F.col("doc_id").alias("u"), "v")
+    several_of = classes.where("copies > 1").select(*key, "rep", "copies")
+    copies = hot_join(usable.select("doc_id", *key), several_of, key, "copies", rows).where("doc_id <> rep").select("doc_id", "rep").distinct()
+    clusters = components(near.union(searched).union(odd).union(odd_large).union(copies).toDF("u", "v"))
     of_rep = classes.join(clusters, classes.rep == clusters.node).select("k1", "k2", "rep", "copies", "n", F.col("component").alias("cluster"))
+    of_rep = written(of_rep)
     several = of_rep.groupBy("cluster").agg(F.count("*").alias("sets"), F.max("n").alias("most")).where("sets > 1")
-    by_size = Window.partitionBy("cluster").orderBy("n", "k1", "k2")
-    members = of_rep.join(several, "cluster").withColumn("chunk", F.floor((F.row_number().over(by_size) - 1) / CHUNK).cast("int"))
-    members = written(members.withColumn("fragments", F.ceil(F.col("most") / FRAGMENT).cast("int")))
-
-    # tiles: pairs of chunks, smaller sizes first, whose sizes allow a link
-    chunks = members.groupBy("cluster", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left = chunks.select("cluster", F.col("chunk").alias("i"), F.col("high").alias("upto"))
-    right = chunks.select("cluster", F.col("chunk").alias("j"), F.col("low").alias("from"))
-    tiles = left.join(right, "cluster").where(f"i <= j AND from * {num} <= upto * {den}").select("cluster", "i", "j")
-    tile = F.struct("i", "j")
-    of_chunk = tiles.select("cluster", F.col("i").alias("chunk"), tile.alias("t")).union(tiles.where("i <> j").select("cluster", F.col("j").alias("chunk"), tile.alias("t")))
-    of_chunk = of_chunk.groupBy("cluster", "chunk").agg(F.collect_list("t").alias("tiles"))
-    members = members.join(of_chunk, ["cluster", "chunk"])
+    members = hot_join(of_rep, several, ["cluster"], "sets", rows).withColumn("fragments", F.ceil(F.col("most") / FRAGMENT).cast("int"))
+    ratio = math.log(den / num) / BANDS * (1 + 1e-9)  # so that rounding sets no linked sets more than BANDS bands apart
+    band = F.when(F.col("sets") > CHUNK, F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio))).otherwise(F.lit(0)).cast("int")
+    members = members.withColumn("band", band)
+    in_band = members.groupBy("cluster", "band").agg(F.count("*").alias("in_band"), (F.max("sets") > CHUNK).alias("cut"))
+    in_band = written(in_band.withColumn("chunks", F.ceil(F.col("in_band") / CHUNK).cast("int")))
+    members = written(hot_join(members, in_band.drop("cut"), ["cluster", "band"], "in_band", rows).withColumn("chunk", chunk_number(F.col("band"), F.pmod(F.xxhash64(*key), F.col("chunks")))))
+
+    # tiles: pairs of chunks whose sizes allow a link; more than BANDS bands apart they are beyond the ratio
+    chunks = in_band.where("cut").select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("h"))
+    chunks = chunks.select("cluster", "band", chunk_number(F.col("band"), F.col("h")).alias("chunk"))
+    left = chunks.select("cluster", F.col("chunk").alias("i"), F.explode(F.sequence(F.col("band"), F.col("band") + BANDS)).alias("band"))
+    tiles = left.join(chunks.withColumnRenamed("chunk", "j"), ["cluster", "band"]).where("i <= j").select("cluster", "i", "j")
+    of_chunk = tiles.select("cluster", F.col("i").alias("chunk"), "i", "j").union(tiles.where("i <> j").select("cluster", F.col("j").alias("chunk"), "i", "j"))
 
     # the text of a representative; with several rows of its id, the one whose set it is
-    wanted = members.select("k1", "k2", "cluster", "chunk", "copies", "fragments", "tiles", F.col("rep").alias("doc_id"))
+    wanted = members.select("k1", "k2", "cluster", "chunk", "copies", "fragments", (F.col("sets") > CHUNK).alias("cut"), F.col("rep").alias("doc_id"))
     found = texts.join(wanted, "doc_id")
     place = ["cluster", "i", "j"]
-    segments = _segments(found, n).repartition(*place, "fragment").sortWithinPartitions(*place, "fragment", "chunk", "n", "doc_id", "k1")
-    partial = segments.mapInArrow(_count, PARTIAL).repartition(*place).sortWithinPartitions(*place, "fragment")
-    linked = written(partial.mapInArrow(_sum(num, den), LINKED))
+    whole = _segments(found.where("NOT cut"), n).withColumn("i", F.col("chunk")).withColumn("j", F.col("chunk"))
+    cut = _segments(found.where("cut"), n).join(of_chunk, ["cluster", "chunk"])
+    of_tile = whole.unionByName(cut).select(*place, "fragment", "chunk", "n", "doc_id", "k1", "copies", "grams")
+    partial = of_tile.repartition(*place, "fragment").sortWithinPartitions(*place, "fragment", "chunk", "n", "doc_id", "k1").mapInArrow(_count, PARTIAL)
+    linked = written(partial.repartition(*place).sortWithinPartitions(*place, "fragment").mapInArrow(_sum(num, den), LINKED))
 
     reached = components(linked.select(F.col("doc_id").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
     done = classes.join(reached, classes.rep == reached.node, "left").join(links, "rep", "left")
-    done = done.select("k1", "k2", F.coalesce("component", "rep").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("l"))
-    return sets.join(done, key, "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), F.coalesce("l", F.lit(0)).cast("long").alias("n_links"))
+    done = done.select("k1", "k2", "copies", F.coalesce("component", "rep").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("l"))
+    known = hot_join(sets.select("doc_id", "n_shingles", *key), done, key, "copies", rows, "left")
+    takes_part = F.col("doc_id").isNotNull()
+    links_of = F.when(takes_part, F.coalesce("l", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return known.select("doc_id", "n_shingles", F.when(takes_part, F.coalesce("c", "doc_id")).alias("component_id"), links_of.alias("n_links"))
+
+
+def chunk_number(band: Column, h: Column) -> Column:
+    """A number for a chunk of a cluster; chunks of lower bands have lower numbers."""
+    return F.shiftleft(band.cast("long"), 40) + h.cast("long")

@@ -110,15 +110,19 @@ def test_join_finds_all_links(spark, n, num):
 
 
 def test_join_with_tiles_fragments_and_large_blocks(spark, monkeypatch):
-    for name, value in (("CHUNK", 7), ("FRAGMENT", 50), ("SMALL", 3), ("SEARCHED", 10)):
+    for name, value in (("CHUNK", 7), ("FRAGMENT", 50), ("SMALL", 3), ("CELLS", 200), ("HOT", 4), ("DEALT", 3)):
         monkeypatch.setattr(ngram_join, name, value)
-    rows = near_copies(9, groups=3, copies=40)
+    monkeypatch.setattr(graph, "HOT_ROWS", 5)
+    monkeypatch.setattr(graph, "HOT_KEYS", 20)
+    rows = near_copies(9, groups=3, copies=40) + [(1000 + k, "a b c d e f") for k in range(30)]
     assert joined(spark.createDataFrame(rows, ODD_SCHEMA), 4, 85) == brute_join(rows, 4, 85)
 
 
 def test_join_of_odd_rows(odd, empty):
     got = joined(odd, 4, 85)
     assert got == brute_join(ODD_DOCS, 4, 85)
+    shared = [(3, "a b c d e f g"), (None, "a b c d e f g"), (None, "a b c d e f g"), (5, "a b c d e f g"), (4, "x " * 9), (4, "y " * 9), (6, "y " * 9)]
+    assert joined(odd.sparkSession.createDataFrame(shared, ODD_SCHEMA), 4, 85) == brute_join(shared, 4, 85)
     assert joined(empty, 4, 85) == []
 
 
@@ -126,11 +130,22 @@ def test_blocks_are_the_same_in_any_batches():
     import pyarrow as pa
 
     r = random.Random(3)
-    rows = sorted({(r.randrange(40), r.randrange(30)) for _ in range(400)})
-    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], names=["sig", "doc_id"])
+    rows = sorted({(r.randrange(40), r.randrange(3) // 2, r.randrange(30)) for _ in range(400)})
+    rows = [(*x, x[1] > 0 or x[0] % 7 == 0) for x in rows]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["sig", "place", "doc_id", "shared"])
     once = {x for b in ngram_join._blocks(iter([batch])) for x in zip(*(c.to_pylist() for c in b.columns))}
     parts = {x for b in ngram_join._blocks(iter([batch.slice(k, 3) for k in range(0, len(rows), 3)])) for x in zip(*(c.to_pylist() for c in b.columns))}
-    assert once == parts and once
+    assert once == parts and {x[0] for x in once} == {0, 1}
+    assert {x[1:] for x in once if x[0]} >= {(sig, doc) for sig, _, doc, shared in rows if shared}
+
+
+def test_a_frequent_signature_is_dealt_by_document():
+    sig = np.r_[np.full(300, 5), np.arange(100, 200)].astype(np.uint64)
+    got = ngram_join.placed(sig, np.arange(400)).to_pydict()
+    of = [(p, d, s) for g, p, d, s in zip(*got.values()) if g == 5]
+    assert len({p for p, _, _ in of}) > 50 and all(s for *_, s in of) and sum(p == 0 for p, *_ in of) == 1
+    assert {p for g, p, *_ in zip(*got.values()) if g != 5} == {0}
 
 
 def test_signatures_meet_whatever_the_difference():
@@ -295,7 +310,7 @@ def test_only_the_covered_part_of_a_span_is_dropped():
 
 def test_redaction(spark, odd, empty):
     df = spark.createDataFrame([(1, "é token=abcdefgh x"), (2, None), (3, "clean")], ODD_SCHEMA)
-    assert [r.text for r in secrets.redact(secrets.find_secrets(df)).orderBy("doc_id").collect()] == ["é [SECRET] x", None, "clean"]
+    assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["é [SECRET] x", None, "clean"]
     assert secrets.secret_digest(odd).count() == len(ODD_DOCS) and secrets.secret_digest(empty).count() == 0
 
 
@@ -341,7 +356,7 @@ def test_merges_are_of_similar_sizes_and_keep_every_shard():
 def test_versions_and_compaction(spark, tmp_path):
     shards = sharding.Shards(spark, f"file://{tmp_path}/s")
     rows = [(k, None if k % 7 == 0 else f"text {k}") for k in range(500)]
-    df = spark.createDataFrame(rows + rows[:3], ODD_SCHEMA).withColumn("_shard2", F.lit(1))
+    df = spark.createDataFrame(rows + rows[:3], ODD_SCHEMA).withColumn("_shard", F.lit(1))
     assert shards.append(df.where("doc_id < 250"), rows=20) == 1
     assert shards.append(df.where("doc_id >= 250"), rows=20) == 2
     before = len(shards.manifest()["shards"])
@@ -351,10 +366,10 @@ def test_versions_and_compaction(spark, tmp_path):
     count = lambda v: sorted((r.doc_id, r.text or "") for r in shards.read(v).collect())
     assert count(3) == count(2) == sorted((k, t or "") for k, t in rows + rows[:3])
     with pytest.raises(RuntimeError):
-        shards.commit({"version": 2, "schema": None}, [], None)
+        shards.commit({"version": 2, "schema": None, "shards": []}, [], [], None)
     assert shards.vacuum() > 0
     assert count(3) == sorted((k, t or "") for k, t in rows + rows[:3])
-    assert {r._shard for r in shards.read().collect()} == {s["path"] for s in shards.manifest()["shards"]}
+    assert {r.__shard for r in shards.read().collect()} == {s["path"] for s in shards.manifest()["shards"]}
 
 
 def test_sharding_query(spark, empty):
@@ -406,15 +421,66 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert toxicity.score_toxicity(empty, none).count() == 0
 
 
-def test_thresholds_ascend_and_weights_are_shared():
+def toxicity_sample():
     r = np.random.default_rng(0)
-    sample = [(int(k % 4 == 0), np.unique(np.r_[r.integers(100, 2000, 30), np.arange(10)[: r.integers(1, 8)] if k % 4 == 0 else []]).astype(np.int32)) for k in range(600)]
-    model = toxicity.fit(sample)
+    rows = [(int(k % 4 == 0), np.unique(np.r_[r.integers(100, 2000, 30), np.arange(10)[: r.integers(1, 8)] if k % 4 == 0 else []]).astype(int)) for k in range(600)]
+    y = np.array([y for y, _ in rows])
+    t, c = (np.bincount(np.concatenate([x for z, x in rows if z == of]), minlength=2000) for of in (1, 0))
+    has, mark = toxicity.worth(t.astype(float), c.astype(float), int((y == 1).sum()), int((y == 0).sum()))
+    return toxicity.Sample(y, [x[has[x]] for _, x in rows], np.flatnonzero(has), np.flatnonzero(mark))
+
+
+def test_thresholds_ascend_and_weights_are_shared():
+    model = toxicity.fit(toxicity_sample())
     assert (np.diff(model.cuts) > 0).all()
     scores = np.linspace(-5, 25, 50)
     assert (np.diff(model.severity(scores)) > 0).all()
 
 
+def test_the_fit_is_where_a_plain_likelihood_is_largest():
+    sample = toxicity_sample()
+    model, grades = toxicity.fit(sample, steps=3000), sample.grades()
+
+    def likelihood(weights, cuts):
+        total = 0.0
+        for cells, g in zip(sample.cells, grades):
+            score = sum(weights[k] for k in cells.tolist())
+            above = [1.0, *(1 / (1 + np.exp(c - score)) for c in cuts), 0.0]
+            total += np.log(above[g] - above[g + 1])
+        return total / len(grades) - toxicity.RIDGE / 2 * sum(w * w for w in weights.values())
+
+    best, step = likelihood(model.weights, model.cuts), 0.02
+    for k in list(model.weights)[:6]:
+        for by in (step, -step):
+            assert likelihood(model.weights | {k: model.weights[k] + by}, model.cuts) <= best + 1e-5
+    for k in range(3):
+        for by in (step, -step):
+            assert likelihood(model.weights, model.cuts + by * (np.arange(3) == k)) <= best + 1e-5
+
+
+def test_severity_against_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    sample = toxicity.labelled_sample(docs, labels, 8000)
+    # the sample, by plain counting
+    toxic = {r.doc_id: int(r.toxic > 0) for r in labels.collect() if r.toxic is not None}
+    of = lambda t: frozenset(b for w in text.plain_words(t or "") for b in toxicity.word_buckets(w))
+    rows = {(toxic[r.doc_id], of(r.text)) for r in docs.collect() if r.doc_id in toxic}
+    n = [sum(y == k for y, _ in rows) for k in (0, 1)]
+    odds = {}
+    for b in set().union(*(x for _, x in rows)):
+        c, t = (sum(b in x for y, x in rows if y == k) for k in (0, 1))
+        if t >= max(4, 0.01 * n[1]):
+            odds[b] = np.log((t + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1))
+    assert sorted(sample.kept.tolist()) == sorted(b for b in odds if odds[b] > 2) and sorted(sample.marks.tolist()) == sorted(b for b in odds if odds[b] > 2.5)
+    assert sorted(zip(sample.toxic.tolist(), map(sorted, (c.tolist() for c in sample.cells)))) == sorted((y, sorted(x & set(sample.kept.tolist()))) for y, x in rows)
+    model = toxicity.fit(sample)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    for r in docs.collect():
+        score = sum(model.weights.get(b, 0.0) for b in of(r.text))
+        severity = sum(1 / (1 + np.exp(c - score)) for c in model.cuts)
+        assert abs(got[r.doc_id].severity - severity) < 1e-9 and got[r.doc_id].toxic_rejected == (severity >= 0.5)
+
+
 # decontamination
 
 
@@ -437,6 +503,28 @@ def test_items_are_found_through_substitutions_and_clean_texts_are_left():
         assert k in found and found[k][1] == at
 
 
+def test_a_line_that_many_items_share_is_compared_in_bounded_steps(monkeypatch):
+    r = random.Random(9)
+    vocabulary = [f"v{k}" for k in range(500)]
+    line = r.choices(vocabulary, k=8)
+    of = lambda words: text.hashed_words(" ".join(words), text.PLAIN)
+    items = [of(line + r.choices(vocabulary, k=r.randint(8, 40))) for _ in range(300)]
+    index = decontamination.Items(list(range(300)), items)
+    words = [w for _ in range(20) for w in [*line, *r.choices(vocabulary, k=7)]]
+    doc = np.concatenate([of(words), items[7], of(words), items[9][:-2]])
+    want = {}
+    for k, item in enumerate(items):
+        for shift in range(-len(item) + 1, len(doc)):
+            a, b = max(0, -shift), min(len(item), len(doc) - shift)
+            equal = item[a:b] == doc[a + shift : b + shift]
+            runs = [equal[p : p + 20].sum() for p in range(len(equal) - 19)]
+            if (equal.sum() >= 0.6 * len(item) or max(runs, default=0) >= 16) and (k not in want or equal.sum() > want[k][0]):
+                want[k] = (int(equal.sum()), shift, equal.sum() / len(item))
+    assert {7, 9} <= set(want) and index.overlaps(doc) == want
+    monkeypatch.setattr(decontamination, "AT_ONCE", 100)
+    assert index.overlaps(doc) == want
+
+
 def test_contaminations_against_brute_force(spark, odd, empty):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminations(docs, bench).collect()}
@@ -456,7 +544,7 @@ def test_clashing_columns_are_replaced(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh"), (2, None)], ODD_SCHEMA)
     for name in ("secret_spans", "test_items", "severity", "severity_grade", "toxic_rejected", "_h"):
         df = df.withColumn(name, F.lit("x"))
-    assert [r.text for r in secrets.redact(secrets.find_secrets(df)).orderBy("doc_id").collect()] == ["[SECRET]", None]
+    assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["[SECRET]", None]
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_toxicity(df, none).where("toxic_rejected").count() == 0
     bench = spark.createDataFrame([(1, "token abcdefgh")], "item_id long, text string")
@@ -486,6 +574,23 @@ def test_neighbours_against_brute_force(spark):
     assert got.keys() == want.keys() and hit / (5 * len(want)) >= 0.95
 
 
+def test_graphs_of_several_shards_find_the_nearest_with_few_comparisons(spark):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(12_000, 10)) @ r.normal(size=(10, 32)) + 0.05 * r.normal(size=(12_000, 32))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>")
+    ids = np.arange(0, len(x), 50)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[ids] @ unit.T
+    near[np.arange(len(ids)), ids] = -2
+    want = dict(zip(ids.tolist(), np.argsort(-near, axis=1)[:, :5].tolist()))
+    got, compared = {}, []
+    for row in ann.nearest(df, df.where("vec_id % 50 = 0"), shard=6000, beam=24).collect():  # two shards
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+        compared.append(row.evaluated)
+    recall = sum(len(got[q] & set(want[q])) for q in want) / (5 * len(want))
+    assert recall >= 0.9 and np.mean(compared) <= 0.1 * len(x), (recall, np.mean(compared) / len(x))
+
+
 def test_neighbours_with_ties_and_unusable_vectors(spark):
     r = np.random.default_rng(3)
     same_ = [1.0, 2.0, 3.0]
@@ -548,6 +653,23 @@ def test_licence_rules_on_real_notices(spark):
 # pipeline
 
 
+def test_stages_on_odd_rows(spark, odd, empty):
+    stages = dict(pytest.importorskip("corpus_pipeline").STAGES)
+    of = lambda df: df.withColumns({c: F.lit(None).cast("string") for c in ("lang", "source")}).withColumn("n_chars", F.lit(0).cast("long")).withColumn("start", F.lit(1)).withColumn("offset", F.lit("x"))
+    ids = lambda df: sorted(-1 if r.doc_id is None else r.doc_id for r in df.collect())
+    every = sorted(-1 if k is None else k for k, _ in ODD_DOCS)
+    for name in ("toxicity", "benchmark_decontamination", "secret_scans"):
+        assert ids(stages[name](spark, of(odd), SF)) == every
+    # 5 is a copy of 4, whose two equal rows stay together
+    assert ids(stages["ngram_jaccard_join"](spark, of(odd), SF)) == [k for k in every if k != 5]
+    packed = stages["packing"](spark, of(odd), SF).collect()
+    assert sorted({-1 if r.doc_id is None else r.doc_id for r in packed}) == sorted(set(every)) and sum(r.length for r in packed if r.doc_id == 4) == 2 * next(r.doc_tokens for r in packed if r.doc_id == 4)
+    for name, stage in stages.items():
+        assert stage(spark, of(empty), SF).count() == 0
+        if name != "packing":
+            assert stage(spark, of(odd), SF).columns == of(odd).columns
+
+
 def test_pipeline_against_brute_force(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
