@@ -73,6 +73,22 @@ def exit_code(findings: DataFrame, issues: DataFrame) -> DataFrame:
     return a.crossJoin(b).select(code.cast("int").alias("exit_code"))  # one row with one row
 
 
+def completeness_counts(modules: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """complete, incomplete and total of modules (complete boolean; null counts as incomplete)."""
+    known = F.coalesce("complete", F.lit(False))
+    return modules.groupBy(*(by or [])).agg(count_where(known, "complete"), count_where(~known, "incomplete"), F.count("*").alias("total"))
+
+
+def spread(rows: DataFrame, by: list[str], column: str) -> DataFrame:
+    """median (between the middle ones), p95 (nearest rank) and largest of a column, exactly."""
+    return rows.groupBy(*by).agg(F.percentile(column, F.lit(0.5)).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {column})").alias("p95"), F.max(column).alias("largest"))
+
+
+def every(condition: Column) -> Column:
+    """Whether all members of a group fulfil the condition; a group without members does."""
+    return F.coalesce(F.bool_and(condition), F.lit(True))
+
+
 def confusion(cases: DataFrame) -> DataFrame:
     """One row: tp, fp, fn, tn, precision and recall of cases (violation boolean, observed string); ratios that aren't
     defined are null."""

@@ -4,66 +4,30 @@ Each round is one join on hashed keys and one anti join; its outcome is written
 stays short and a lost executor costs one task. Every loop ends by itself (sets only grow) or at a stated limit.
 """
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..storage import written
-from . import local_graph
 
-#: Rows (edges, seeds and the like) up to which one task does the whole work; joins do it beyond.
-LOCAL_ROWS = 500_000
+#: Rounds after which a growing union of tables is written as one.
+UNION = 8
 
 
 class LimitReached(RuntimeError):
     """A fixpoint needed more rounds than it was allowed."""
 
 
-def _in_one_task(edges: DataFrame, rest: DataFrame | None, limit: int, work: Callable, names: list[str], kinds: list) -> DataFrame | None:
-    """work's rows over edges and rest, if these are few; None if they are not. rest has the columns of edges' table: a,
-    b and v. What is counted is the input, so a task's memory has a fixed bound."""
-    if limit <= 0:
-        return None
-    tables = edges.select(F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(None).alias("v"))
-    if rest is not None:
-        tables = edges.select(F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(None).cast(rest.schema["v"].dataType).alias("v")).union(rest.select(F.lit(1), "a", "b", "v"))
-    few = written(tables.withColumn("v", F.col("v").cast("string")) if rest is None else tables)
-    if few.count() > limit:
-        return None
-    schema = StructType([StructField(n, k) for n, k in zip(names, kinds)])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        found = work(rows)
-        for at in range(0, len(found), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found[at : at + 10_000]), arrow)], schema=arrow)
-
-    return few.coalesce(1).mapInArrow(run, schema)
-
-
-def _rest(df: DataFrame, a: str, b: str | None, v: str | None, kind) -> DataFrame:
-    return df.select(F.col(a).alias("a"), (F.col(b) if b else F.lit(None).cast(kind)).alias("b"), (F.col(v) if v else F.lit(None).cast("string")).alias("v"))
-
-
-def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """node: the seeds (column node) and all that edges (src, dst) lead to from them. Each node enters the frontier once,
     so the work is linear in the edges."""
-    kind = edges.schema["src"].dataType
-    if (one := _in_one_task(edges, _rest(seeds, "node", None, None, kind), local_rows, local_graph.reachable, ["node"], [kind])) is not None:
-        return one
     steps = written(edges.select("src", "dst").where("src <> dst").distinct())
     known = frontier = written(seeds.select("node").distinct())
-    for _ in range(max_rounds):
+    for step in range(1, max_rounds + 1):
         found = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = written(found.join(known, "node", "left_anti"))
         if frontier.isEmpty():
             return known
-        known = known.union(frontier)
+        known = known.union(frontier) if step % UNION else written(known.union(frontier))
     raise LimitReached(f"reachable: {max_rounds} rounds")
 
 
@@ -86,16 +50,13 @@ def closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     raise LimitReached(f"closure: {max_rounds} rounds")
 
 
-def scc(edges: DataFrame, max_rounds: int = 10_000, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def scc(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """node, component (its smallest node): the strongly connected components of edges (src, dst) that have a cycle; a
     node with an edge to itself is one.
 
     Rounds of trimming, colouring and walking back: nodes without edges in or out are cut off; each node takes the
     smallest node that reaches it as its colour; what reaches a colour's own node inside the colour is its component.
     """
-    kind = edges.schema["src"].dataType
-    if (one := _in_one_task(edges, None, local_rows, local_graph.scc, ["node", "component"], [kind, kind])) is not None:
-        return one
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
     left = written(edges.select("src", "dst").where("src <> dst").distinct())
     found = None
@@ -117,7 +78,7 @@ def scc(edges: DataFrame, max_rounds: int = 10_000, local_rows: int = LOCAL_ROWS
             if new.where("changed").isEmpty():
                 break
         inside = left.join(colour.withColumnRenamed("c", "a"), F.col("src") == F.col("node")).drop("node").join(colour.withColumnRenamed("c", "b"), F.col("dst") == F.col("node")).where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        members = reachable(inside, colour.where("node = c").select("node"), local_rows=local_rows).join(colour, "node").select("node", F.col("c").alias("component"))
+        members = reachable(inside, colour.where("node = c").select("node")).join(colour, "node").select("node", F.col("c").alias("component"))
         sized = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
         part = written(members.join(sized, "component", "left_semi").select("node", "component"))
         found = part if found is None else found.union(part)
@@ -142,12 +103,9 @@ def alias_chase(aliases: DataFrame) -> DataFrame:
     return now.join(aliases.select(F.col("alias").alias("target")), "target", "left_anti").select("alias", "target")
 
 
-def set_fixpoint(base: DataFrame, edges: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def set_fixpoint(base: DataFrame, edges: DataFrame) -> DataFrame:
     """node, value: the pairs of base, and for each edge (src, dst) src has all values of dst. Pairs that are new feed the
     next round."""
-    kinds = [edges.schema["src"].dataType, base.schema["value"].dataType]
-    if (one := _in_one_task(edges, _rest(base, "node", None, "value", kinds[0]), local_rows, local_graph.set_fixpoint, ["node", "value"], kinds)) is not None:
-        return one
     steps = written(edges.select("src", "dst").where("src <> dst").distinct())
     known = delta = written(base.select("node", "value").distinct())
     while True:
@@ -158,13 +116,9 @@ def set_fixpoint(base: DataFrame, edges: DataFrame, local_rows: int = LOCAL_ROWS
         known = written(known.union(delta))
 
 
-def mask_fixpoint(base: DataFrame, edges: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def mask_fixpoint(base: DataFrame, edges: DataFrame) -> DataFrame:
     """node, mask: the mask of base (0 where it has none) joined by bitwise or with those of all nodes that edges
     (src, dst) lead to. Only nodes whose mask grew feed the next round, and masks of 64 bits grow at most 64 times."""
-    kind = edges.schema["src"].dataType
-    masks = base.select("node", F.col("mask").cast("long").alias("mask"))
-    if (one := _in_one_task(edges, _rest(masks, "node", None, "mask", kind), local_rows, local_graph.mask_fixpoint, ["node", "mask"], [kind, masks.schema["mask"].dataType])) is not None:
-        return one
     steps = written(edges.select("src", "dst").where("src <> dst").distinct())
     nodes = base.select("node").union(steps.select("src")).union(steps.select("dst")).distinct()
     known = written(nodes.join(base.groupBy("node").agg(F.bit_or("mask").alias("mask")), "node", "left").select("node", F.coalesce("mask", F.lit(0)).cast("long").alias("mask")))
@@ -182,8 +136,8 @@ def saturating_fixpoint(base: DataFrame, edges: DataFrame, most: int = 2, cut: D
 
     base has node, lower and upper; edges may repeat, and each counts; a possible edge (column certain is false) adds to
     upper alone, and of several possible edges of one call (column call) the largest counts. Nodes of cut hand nothing to
-    their callers. Paths add up, so this is no closure: all nodes are recomputed in rounds until nothing changes, and
-    values only rise up to most, so at most 2 * most * nodes rounds are needed."""
+    their callers. Paths add up, so this is no closure: the callers of what changed are summed up anew in rounds until nothing
+    changes, and values only rise up to most, so at most 2 * most * nodes rounds are needed."""
     steps = edges.select("src", "dst", *[c for c in ("certain", "call") if c in edges.columns])
     if "certain" not in steps.columns:
         steps = steps.withColumn("certain", F.lit(True))
@@ -196,36 +150,39 @@ def saturating_fixpoint(base: DataFrame, edges: DataFrame, most: int = 2, cut: D
     zero, top = F.lit(0), F.lit(most)
     own = written(nodes.join(base.groupBy("node").agg(F.sum("lower").alias("l"), F.sum("upper").alias("u")), "node", "left").select("node", F.least(F.coalesce("l", zero), top).cast("int").alias("ol"), F.least(F.coalesce("u", zero), top).cast("int").alias("ou")))
     now = own.select("node", F.col("ol").alias("lower"), F.col("ou").alias("upper"))
+    changed = now.where("lower > 0 OR upper > 0").select("node")
     for _ in range(max_rounds):
-        each = steps.join(now, F.col("dst") == F.col("node")).groupBy("src", "call").agg(F.max(F.when(F.col("certain"), F.col("lower"))).alias("l"), F.max("upper").alias("u"))
+        # callers of what has changed are summed up anew, from all their calls; the rest stay as they are
+        callers = written(steps.join(changed, F.col("dst") == F.col("node"), "left_semi").select("src").distinct())
+        if callers.isEmpty():
+            return now
+        mine = steps.join(callers, "src", "left_semi").join(now, F.col("dst") == F.col("node"))
+        each = mine.groupBy("src", "call").agg(F.max(F.when(F.col("certain"), F.col("lower"))).alias("l"), F.max("upper").alias("u"))
         added = each.groupBy(F.col("src").alias("node")).agg(F.sum("l").alias("l"), F.sum("u").alias("u"))
-        new = own.join(added, "node", "left").join(now.select("node", F.col("lower").alias("bl"), F.col("upper").alias("bu")), "node")
-        new = new.select("node", F.least(F.col("ol") + F.coalesce("l", zero), top).cast("int").alias("lower"), F.least(F.col("ou") + F.coalesce("u", zero), top).cast("int").alias("upper"), "bl", "bu")
-        new = written(new)
+        new = now.withColumnsRenamed({"lower": "bl", "upper": "bu"}).join(own.join(added, "node"), "node", "left")
+        total = lambda own_, sums, before: F.when(F.col("u").isNull(), F.col(before)).otherwise(F.least(F.col(own_) + F.coalesce(sums, zero), top)).cast("int")
+        new = written(new.select("node", total("ol", "l", "bl").alias("lower"), total("ou", "u", "bu").alias("upper"), "bl", "bu"))
         now = new.select("node", "lower", "upper")
-        if new.where("lower <> bl OR upper <> bu").isEmpty():
-            return now
+        changed = new.where("lower <> bl OR upper <> bu").select("node")
     raise LimitReached(f"saturating_fixpoint: {max_rounds} rounds")
 
 
-def impact(changed: DataFrame, before: DataFrame, after: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def impact(changed: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """node: the changed ones and all that depend on them, directly or not, by the old or the new edges (src depends on
     dst)."""
     edges = before.select("src", "dst").union(after.select("src", "dst"))
-    return reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), changed, local_rows=local_rows)
+    return reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), changed)
 
 
-def cycle_witness(edges: DataFrame, components: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def cycle_witness(edges: DataFrame, components: DataFrame) -> DataFrame:
     """component, path: for each component a shortest cycle through its smallest node, as an array that begins and ends
     there; of several the first in order. Breadth-first, all components at once."""
-    kind = edges.schema["src"].dataType
-    if (one := _in_one_task(edges, _rest(components, "node", "component", None, kind), local_rows, local_graph.cycle_witness, ["component", "path"], [kind, ArrayType(kind)])) is not None:
-        return one
     inner = edges.select("src", "dst").distinct().join(components.select(F.col("node").alias("src"), "component"), "src").join(components.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2").select("component", "src", "dst")
     inner = written(inner)
     start = written(components.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("path")))
-    done, seen, now = None, start.select("component", "node"), start
+    done, seen, now, step = None, start.select("component", "node"), start, 0
     while not now.isEmpty():
+        step += 1
         ahead = now.join(inner, (now["component"] == inner["component"]) & (now["node"] == inner["src"])).select(now["component"], F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         ahead = written(ahead.groupBy("component", "node").agg(F.min("path").alias("path")))
         closed = ahead.where("node = component").select("component", "path")
@@ -233,4 +190,5 @@ def cycle_witness(edges: DataFrame, components: DataFrame, local_rows: int = LOC
         open_ = ahead.where("node <> component").join(done, "component", "left_anti")
         now = written(open_.join(seen, ["component", "node"], "left_anti").select("component", "node", "path"))
         seen = seen.union(now.select("component", "node"))
+        seen = seen if step % UNION else written(seen)
     return done if done is not None else start.select("component", "path")

@@ -4,16 +4,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def containment_join(outer: DataFrame, inner: DataFrame, by: list[str], start: str = "start", end: str = "end", bucket: int = 64) -> DataFrame:
+def containment_join(outer: DataFrame, inner: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Pairs of rows with equal `by` where the outer range holds the inner one (outer.start <= inner.start and inner.end <=
-    outer.end). Columns of both, those of inner other than `by` with the prefix inner_.
-
-    Outer ranges are dealt to all buckets of positions they cover, inner ones to that of their start, so the join is an
-    equi join on (by, bucket) and a pair meets once."""
-    low, high = F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket)
-    spread = outer.withColumn("_b", F.explode(F.sequence(low, high)))
-    narrow = inner.select(*by, *[F.col(c).alias(f"inner_{c}") for c in inner.columns if c not in by], F.floor(F.col(start) / bucket).alias("_b"))
-    return spread.join(narrow, [*by, "_b"]).where((F.col(f"inner_{start}") >= F.col(start)) & (F.col(f"inner_{end}") <= F.col(end))).drop("_b")
+    outer.end). Columns of both, those of inner other than `by` with the prefix inner_. Positions are whole numbers.
+
+    Ranges have levels, the powers of two above their lengths. At its level an outer range lies in one bucket or two, an
+    inner one is dealt to the bucket of its start at each level that outer ranges have (64 at most), so the join is an equi
+    join on (by, level, bucket), a pair meets once, and a row is copied a bounded number of times however wide it is."""
+    low, high = F.col(start).cast("long"), F.col(end).cast("long")
+    ranges = outer.where(low <= high).withColumn("_level", F.length(F.bin(high - low)))
+    levels = sorted(r[0] for r in ranges.select("_level").distinct().collect())  # 64 at most
+    bucket = lambda x, level: F.expr(f"shiftright({x}, {level})")
+    spread = ranges.withColumns({"_s": low, "_e": high})
+    spread = spread.withColumn("_b", F.explode(F.array_distinct(F.array(bucket("_s", "_level"), bucket("_e", "_level"))))).drop("_s", "_e")
+    narrow = inner.select(*by, *[F.col(c).alias(f"inner_{c}") for c in inner.columns if c not in by], low.alias("_s"))
+    each = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+    narrow = narrow.withColumn("_level", F.explode(each)).withColumn("_b", bucket("_s", "_level")).drop("_s")
+    return spread.join(narrow, [*by, "_level", "_b"]).where((F.col(f"inner_{start}") >= F.col(start)) & (F.col(f"inner_{end}") <= F.col(end))).drop("_b", "_level")
 
 
 def nearest_left(left: DataFrame, right: DataFrame, by: list[str], at: str, pick: str) -> DataFrame:
@@ -81,3 +88,9 @@ def bind_arguments(calls: DataFrame, parameters: DataFrame) -> DataFrame:
 def overlaps(column: Column, wanted: list[str]) -> Column:
     """An array column shares a value with a fixed set."""
     return F.arrays_overlap(column, F.array(*map(F.lit, wanted))) if wanted else F.lit(False)
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct rows that one of the tables has and the other has not; nulls are equal."""
+    a = a.select(*b.columns)
+    return a.subtract(b).union(b.subtract(a))

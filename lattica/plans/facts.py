@@ -1,5 +1,6 @@
 """The tables that rules read: facts of the sources and what is derived from them."""
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,8 @@ class Catalog:
         self.policy, self.all_sources = policy, sources
         self.sources = sources.where("status = 'analyzed'")
         self.spark = sources.sparkSession
+        self.failures: list[tuple[str, str]] = []
+        self._derived: dict[str, DataFrame] = {}
         self.facts = facts if facts is not None else written(extract(self.sources))
 
     def kind(self, name: str) -> DataFrame:
@@ -46,9 +49,17 @@ class Catalog:
         known = names.classify(kept, self.policy["roles"], self.policy["zones"], default_zone=self.policy["default_zone"])
         return written(known.join(failed, "module_id", "left").withColumn("complete", F.coalesce("_ok", F.lit(True))).drop("_ok"))
 
+    def derived(self, name: str, make: Callable[["Catalog"], DataFrame]) -> DataFrame:
+        """make()'s table, written once for all that read it."""
+        if name not in self._derived:
+            self._derived[name] = written(make(self))
+        return self._derived[name]
+
     @property
     def issues(self) -> DataFrame:
-        return self.kind("failure").select(F.col("name").alias("code"), "path", attr("message").alias("message"))
+        """Modules that could not be read, and rules that failed."""
+        failed = self.spark.createDataFrame([("RULE_FAILURE", ".", f"{r}: {text}") for r, text in self.failures], "code string, path string, message string")
+        return self.kind("failure").select(F.col("name").alias("code"), "path", attr("message").alias("message")).union(failed)
 
     @cached_property
     def import_edges(self) -> DataFrame:
@@ -157,11 +168,21 @@ class Catalog:
         return written(joins.bind_arguments(calls, params).where("value IS NOT NULL").join(where, "call_id").drop("call_id"))
 
     @cached_property
-    def callback_effects(self) -> DataFrame:
-        """module_id, n, callback_mask: effects of what a call hands to parameters that are called."""
+    def handed_effects(self) -> DataFrame:
+        """module_id, n, effects, certain: effects of what a call hands to parameters that are called, or may be."""
         given = self.bound_arguments.withColumn("node", F.concat_ws(".", "function", "parameter")).join(self.callbacks, "node")
         t = self.canonical(given, "value").join(self.catalog.where("NOT wrapped"), F.col("canonical") == F.col("effect_symbol"))
-        return written(t.groupBy("module_id", "n").agg(F.bit_or("effects").alias("callback_mask")))
+        return written(t.select("module_id", "n", "effects", "certain"))
+
+    @cached_property
+    def callback_effects(self) -> DataFrame:
+        """module_id, n, callback_mask: effects of what a call hands to parameters that are certainly called."""
+        return self.handed_effects.where("certain").groupBy("module_id", "n").agg(F.bit_or("effects").alias("callback_mask"))
+
+    @cached_property
+    def possible_callback_effects(self) -> DataFrame:
+        """module_id, n, possible_mask: effects of what a call hands to parameters that may be called."""
+        return self.handed_effects.where("NOT certain").groupBy("module_id", "n").agg(F.bit_or("effects").alias("possible_mask"))
 
     @cached_property
     def summaries(self) -> DataFrame:

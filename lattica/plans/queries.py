@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprints
 from ..operators import aggregates, graph, joins, names
+from ..storage import written
+from . import rule_cases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,10 +155,11 @@ def suppressions(spark: SparkSession, sf: str) -> DataFrame:
     return joins.precedence_lookup(f, (ignores, ["l_partkey"], "why"), (approvals, ["l_suppkey"], "why")).withColumn("source", F.coalesce("source", F.lit(-1)))
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def unused_approvals(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers that no order uses."""
-    return joins.unmatched(t(spark, sf, "customer").select("c_custkey", "c_mktsegment"), t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Orders that no returned line item uses."""
+    used = t(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return joins.unmatched(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), used, ["o_orderkey"])
 
 
 @query(f"""WITH RECURSIVE {PART_EDGES}, r AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r""")
@@ -165,10 +168,10 @@ def reachable(spark: SparkSession, sf: str) -> DataFrame:
     return graph.reachable(part_edges(spark, sf), t(spark, sf, "part").where("p_size = 1").select(F.col("p_partkey").alias("node")))
 
 
-@query(f"""WITH RECURSIVE {TRADE}, e AS (SELECT src, dst FROM trade WHERE (src * 7 + dst * 3) % 11 = 0), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src, dst FROM c""")
+@query(f"""WITH RECURSIVE {TRADE}, e AS (SELECT src, dst FROM trade), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src, dst FROM c""")
 def import_closure(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of nations joined by a path of chosen trade edges."""
-    return graph.closure(trade(spark, sf).where("(src * 7 + dst * 3) % 11 = 0").select("src", "dst"))
+    """All pairs of nations joined by a path of trade edges."""
+    return graph.closure(trade(spark, sf).select("src", "dst"))
 
 
 @query(f"""WITH RECURSIVE {PART_EDGES}, c AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM c JOIN e ON b = src), k AS (SELECT DISTINCT a AS node FROM c WHERE a = b)
@@ -178,7 +181,10 @@ def import_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return graph.scc(part_edges(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PART_EDGES}, c AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM c JOIN e ON b = src), k AS (SELECT DISTINCT a AS node FROM c WHERE a = b),
+m AS (SELECT DISTINCT min(c.b) AS component FROM k JOIN c ON c.a = k.node JOIN c d ON d.a = c.b AND d.b = k.node GROUP BY k.node),
+w AS (SELECT component, dst AS node, component || '>' || dst AS path FROM m JOIN e ON src = component UNION ALL SELECT component, e.dst, path || '>' || e.dst FROM w JOIN e ON e.src = node WHERE node <> component)
+SELECT component, path FROM w WHERE node = component""")
 def cycle_witnesses(spark: SparkSession, sf: str) -> DataFrame:
     """A shortest cycle for each component, through its smallest node."""
     edges = part_edges(spark, sf)
@@ -283,11 +289,11 @@ def saturating_counts(spark: SparkSession, sf: str) -> DataFrame:
     return items.groupBy("l_orderkey").agg(aggregates.saturating_sum("w").alias("writes"))
 
 
-@query("WITH x AS (SELECT c_nationkey, o_custkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey), n AS (SELECT c_nationkey, count(DISTINCT o_custkey) AS n FROM x GROUP BY ALL) SELECT x.c_nationkey, o_orderpriority FROM x JOIN n USING (c_nationkey) GROUP BY x.c_nationkey, o_orderpriority, n HAVING count(DISTINCT o_custkey) = n")
+@query("WITH x AS (SELECT l_orderkey, l_linenumber, unnest([l_returnflag, l_linestatus]) AS key FROM lineitem), n AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM x GROUP BY ALL) SELECT x.l_orderkey, key FROM x JOIN n USING (l_orderkey) GROUP BY x.l_orderkey, key, n HAVING count(DISTINCT l_linenumber) = n")
 def common_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """What all owners of a group have in common."""
-    x = t(spark, sf, "orders").select("o_custkey", "o_orderpriority").join(t(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    return aggregates.common_members(x, ["c_nationkey"], "o_custkey", "o_orderpriority")
+    """Flags that all line items of an order have."""
+    x = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.array("l_returnflag", "l_linestatus")).alias("key"))
+    return aggregates.common_members(x, ["l_orderkey"], "l_linenumber", "key")
 
 
 @query("SELECT l_suppkey, bit_or(1::BIGINT << (l_linenumber % 8)) AS effects, bit_or(CASE WHEN l_discount > 0.05 THEN 1::BIGINT << (l_linenumber % 8) ELSE 0 END) AS direct FROM lineitem GROUP BY l_suppkey")
@@ -365,34 +371,113 @@ def statement_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("user_id", "day", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-@query("""WITH r AS (SELECT n_nationkey, lower(replace(r_name, ' ', '_')) AS role FROM nation JOIN region ON n_regionkey = r_regionkey),
-s AS (SELECT s_suppkey, s_nationkey, s_acctbal, role FROM supplier JOIN r ON s_nationkey = n_nationkey),
-m AS (SELECT 's' || s_suppkey AS m, s_suppkey % 5 = 0 AS clock, s_acctbal < 2000 AS sleeps, s_acctbal < 1000 AS dynamic,
-  (SELECT role FROM r WHERE n_nationkey = (s_nationkey + s_suppkey % 3) % 25) NOT IN (s.role, 'europe') AS wrong FROM s
-  UNION ALL SELECT 'n' || n_nationkey, false, false, false, false FROM r),
-v AS (SELECT 'TIME001' AS rule_id, clock AS bad FROM m UNION ALL SELECT 'ASYNC001', sleeps FROM m UNION ALL SELECT 'IMPORT002', dynamic FROM m UNION ALL SELECT 'ARCH001', wrong FROM m UNION ALL SELECT 'ARCH000', false FROM m)
-SELECT rule_id, CASE WHEN bad THEN 'fail' ELSE 'pass' END AS verdict, count(*)::BIGINT AS modules FROM v GROUP BY ALL""")
+@query("""WITH a AS (SELECT o_orderkey, o_custkey, o_orderkey % 6 AS k FROM orders), w AS (SELECT *, 'x' || o_custkey AS x, 'y' || o_orderkey AS y FROM a)
+SELECT o_orderkey, 'a' AS parameter, x AS value FROM w WHERE k IN (0, 1, 2) UNION ALL SELECT o_orderkey, 'b', y FROM w WHERE k IN (1, 2)""")
+def argument_binding(spark: SparkSession, sf: str) -> DataFrame:
+    """Arguments of calls bound to parameters: by place, by name, and calls that bind nothing."""
+    o = t(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 6).alias("k"), F.concat(F.lit("x"), F.col("o_custkey").cast("string")).alias("x"), F.concat(F.lit("y"), F.col("o_orderkey").cast("string")).alias("y"))
+    arg = lambda name, at, value: F.struct(F.lit(name).cast("string").alias("name"), F.lit(at).cast("int").alias("position"), F.col(value).alias("value"))
+    forms = [[arg(None, 0, "x")], [arg(None, 0, "x"), arg(None, 1, "y")], [arg("b", None, "y"), arg("a", None, "x")], [arg(None, 0, "x"), arg("a", None, "y")], [arg("b", None, "y")], [arg(None, 0, "x"), arg("c", None, "y")]]
+    args = F.coalesce(*[F.when(F.col("k") == n, F.array(*form)) for n, form in enumerate(forms)])
+    calls = o.select(F.col("o_orderkey").alias("call_id"), F.lit("f").alias("function"), args.alias("args"))
+    params = spark.createDataFrame([("f", "a", 0, "positional_or_keyword", True), ("f", "b", 1, "positional_or_keyword", False)], "function string, name string, position int, kind string, required boolean")
+    return joins.bind_arguments(calls, params).withColumnRenamed("call_id", "o_orderkey")
+
+
+@query("SELECT o_custkey, list_has_any(list(DISTINCT o_orderpriority), ['1-URGENT', '2-HIGH']) AS urgent FROM orders GROUP BY o_custkey")
+def shared_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a set shares a member with a fixed one."""
+    sets = t(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("s"))
+    return sets.select("o_custkey", joins.overlaps(F.col("s"), ["1-URGENT", "2-HIGH"]).alias("urgent"))
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def missed_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What changed but was not proposed for recomputation."""
+    from ..streaming.incremental import missed
+
+    o = t(spark, sf, "orders")
+    return missed(o.where("o_orderstatus = 'F'").select("o_custkey"), o.where("o_orderpriority = '1-URGENT'").select("o_custkey").distinct())
+
+
+@query("(SELECT s_nationkey AS n FROM supplier WHERE s_acctbal < 0 EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) UNION (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def symmetric_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations that one of two sets has and the other has not."""
+    return joins.symmetric_difference(t(spark, sf, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("n")), t(spark, sf, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("n")))
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'view')::BIGINT AS complete, count(*) FILTER (event_type IS DISTINCT FROM 'view')::BIGINT AS incomplete, count(*)::BIGINT AS total FROM events GROUP BY user_id")
+def completeness(spark: SparkSession, sf: str) -> DataFrame:
+    """Complete and incomplete members counted."""
+    return aggregates.completeness_counts(t(spark, sf, "events").select("user_id", (F.col("event_type") == "view").alias("complete")), ["user_id"])
+
+
+@query("SELECT l_suppkey, median(l_quantity) AS median, quantile_disc(l_quantity, 0.95) AS p95, max(l_quantity) AS largest FROM lineitem GROUP BY l_suppkey")
+def spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Median, 95th percentile by nearest rank, and maximum."""
+    return aggregates.spread(t(spark, sf, "lineitem").select("l_suppkey", "l_quantity"), ["l_suppkey"], "l_quantity")
+
+
+@query("SELECT o_orderkey, coalesce(bool_and(l_quantity > 10), true) AS all_large FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY o_orderkey")
+def all_or_none(spark: SparkSession, sf: str) -> DataFrame:
+    """A condition on all members of a group, which an empty group fulfils."""
+    items = t(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
+    return t(spark, sf, "orders").select("o_orderkey").join(items, "o_orderkey", "left").groupBy("o_orderkey").agg(aggregates.every(F.col("l_quantity") > 10).alias("all_large"))
+
+
+def sources_of(rows: DataFrame) -> DataFrame:
+    """rows of path and content as the sources of a project."""
+    module = F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/", ".")
+    return rows.select("path", module.alias("module_id"), F.lit(False).alias("is_package"), "content", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), (F.size(F.split("content", "\n")) - 1).alias("line_count"), F.lit("analyzed").alias("status"))
+
+
+def case_modules(spark: SparkSession, sf: str) -> DataFrame:
+    """path, content, rule_id: a module for each customer, of the case that its key falls on."""
+    shown = [(n, rule_cases.module_path(n), rule, "x = 1\n" if text == "conftest" else text.replace("{{", "{").replace("}}", "}")) for n, (rule, _, _, _, text) in enumerate(rule_cases.CASES)]
+    cases = spark.createDataFrame(shown, "n int, path string, rule_id string, text string")
+    k = t(spark, sf, "customer").select("c_custkey", F.pmod("c_custkey", F.lit(len(shown))).cast("int").alias("n"))
+    fill = lambda text, mark, value: F.replace(text, F.lit(mark), value)
+    m = k.join(F.broadcast(cases), "n").withColumn("path", fill(F.col("path"), "{k}", F.col("c_custkey").cast("string")))
+    name = F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/", ".")
+    return m.select("path", fill(fill(F.col("text"), "{k}", F.col("c_custkey").cast("string")), "{m}", name).alias("content"), "rule_id")
+
+
+@query(f"""WITH cases(n, rule_id, verdict, reason) AS (VALUES {rule_cases.values()})
+SELECT rule_id, verdict, reason, count(*)::BIGINT AS modules FROM customer JOIN cases ON c_custkey % {len(rule_cases.CASES)} = n GROUP BY ALL""")
 def rule_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """A project whose sources are written out of the tables, a module for each supplier and nation, judged by rules."""
+    """All rules over a project with a module for each customer that breaks a rule, keeps it, leaves it open or has
+    nothing to do with it."""
     from ..sources.policy import complete
     from .report import check_sources
 
-    region = t(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))).alias("role"))
-    nation = t(spark, sf, "nation").select("n_nationkey", "n_regionkey").join(region, "n_regionkey").select("n_nationkey", "role")
-    target = F.pmod(F.col("s_nationkey") + F.pmod("s_suppkey", F.lit(3)), F.lit(25)).cast("int")
-    of = nation.select(F.col("n_nationkey").alias("s_nationkey"), "role")
-    other = nation.select(F.col("n_nationkey").alias("t"), F.col("role").alias("target_role"))
-    s = t(spark, sf, "supplier").join(of, "s_nationkey").withColumn("t", target).join(other, "t")
-    text = F.concat(
-        F.lit("import datetime\nimport importlib\nimport time\nimport app."), F.col("target_role"), F.lit(".n"), F.col("t").cast("string"), F.lit("\n"),
-        F.when(F.col("s_suppkey") % 5 == 0, "now = datetime.datetime.now()\n").otherwise(""),
-        F.when(F.col("s_acctbal") < 2000, "async def wait():\n    helper()\ndef helper():\n    time.sleep(1)\n").otherwise(""),
-        F.when(F.col("s_acctbal") < 1000, "importlib.import_module('x')\n").otherwise(""),
-    )
-    modules = s.select("role", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("m"), text.alias("content")).union(nation.select("role", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.lit("x = 1\n")))
-    path = F.concat_ws("/", F.lit("app"), "role", "m")
-    sources = modules.select(F.concat(path, F.lit(".py")).alias("path"), F.replace(path, F.lit("/"), F.lit(".")).alias("module_id"), F.lit(False).alias("is_package"), "content", F.sha2("content", 256).alias("content_hash"), (F.size(F.split("content", "\n")) - 1).alias("line_count"), F.lit("analyzed").alias("status"))
-    roles = [r[0] for r in region.select("role").collect()]
-    policy = complete({"roles": {r: {"include": [f"app/{r}/*"]} for r in roles}, "allow": {r: sorted({r, "europe"}) for r in roles}})
-    report = check_sources(sources, policy, rules=["ARCH000", "ARCH001", "TIME001", "ASYNC001", "IMPORT002"])
-    return report.evaluations.groupBy("rule_id", "verdict").agg(F.count("*").alias("modules"))
+    modules = written(case_modules(spark, sf))
+    library = spark.createDataFrame(list(rule_cases.LIBRARY.items()), "path string, content string")
+    report = check_sources(sources_of(modules.select("path", "content").union(library)), complete(rule_cases.POLICY))
+    return report.evaluations.join(modules.select("path", "rule_id"), ["path", "rule_id"]).groupBy("rule_id", "verdict", "reason").agg(F.count("*").alias("modules"))
+
+
+@query("""WITH m AS (SELECT s_acctbal < 1000 AS broken FROM supplier), r AS (SELECT unnest(['ARCH002', 'EXC001', 'IMPORT002', 'TIME001']) AS rule_id)
+SELECT rule_id, CASE WHEN broken OR rule_id IN ('ARCH002', 'EXC001') THEN 'indeterminate' ELSE 'pass' END AS verdict,
+CASE WHEN broken THEN 'incomplete_module' WHEN rule_id IN ('ARCH002', 'EXC001') THEN 'incomplete_project' END AS reason, count(*)::BIGINT AS modules FROM m, r GROUP BY ALL""")
+def incomplete_projects(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of a project with modules that can't be read: rules on the whole project are open everywhere."""
+    from ..sources.policy import complete
+    from .report import check_sources
+
+    s = t(spark, sf, "supplier").select(F.concat(F.lit("app/m"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path"), F.when(F.col("s_acctbal") < 1000, "def (:\n").otherwise("x = 1\n").alias("content"))
+    report = check_sources(sources_of(s), complete({}), rules=["ARCH002", "EXC001", "IMPORT002", "TIME001"])
+    return report.evaluations.groupBy("rule_id", "verdict", "reason").agg(F.count("*").alias("modules"))
+
+
+@query("SELECT 'app.m' || s_suppkey AS module_id, s_suppkey % 2 = 0 AS same FROM supplier")
+def location_free_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a module means the same in two revisions: in half of them lines have only moved."""
+    from ..sources.extract import extract
+    from ..streaming.incremental import semantic_digests
+
+    s = t(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("app/m"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path"))
+    text = "import json\ndef f(x):\n    return json.dumps(x)\n"
+    before = s.select("path", F.lit(text).alias("content"))
+    after = s.select("path", F.concat(F.lit("\n# moved\n"), F.when(F.col("s_suppkey") % 2 == 0, text).otherwise(text.replace("dumps", "loads"))).alias("content"))
+    a, b = (semantic_digests(extract(sources_of(x))) for x in (before, after))
+    return a.join(b.withColumnRenamed("digest", "other"), "module_id").select("module_id", (F.col("digest") == F.col("other")).alias("same"))

@@ -2,6 +2,7 @@
 
 A rule is judged for each module of its zones: a module that could not be read is indeterminate; one with a doubt is
 indeterminate where the rule says that doubts come first, or if it has no finding; one with a finding fails; others pass.
+Doubts come from names that matter to a rule and facts that may mean them (relevant()), and from plans of single rules.
 A rule that has nothing to say about a module (by its role, mostly) is not applicable to it.
 Findings carry module_id, path, line, column (from 0), symbol (what breaks the rule) and subject (what is broken).
 """
@@ -19,7 +20,8 @@ from .facts import Catalog, attr, lines_of, mask
 
 Plan = Callable[[Catalog], DataFrame | None]
 FINDINGS: dict[str, Plan] = {}
-DOUBTS: dict[str, tuple[Plan, bool]] = {}
+DOUBTS: dict[str, list[tuple[Plan, bool]]] = {}
+RELATIONSHIPS = ["sqlalchemy.orm.relationship", "sqlalchemy.orm.dynamic_loader"]
 COLUMNS = ["module_id", "path", "line", "column", "symbol", "subject"]
 
 
@@ -36,7 +38,7 @@ def doubt(*rules: str, first: bool = True) -> Callable[[Plan], Plan]:
 
     def add(f: Plan) -> Plan:
         for name in rules:
-            DOUBTS[name] = f, first
+            DOUBTS.setdefault(name, []).append((f, first))
         return f
 
     return add
@@ -69,11 +71,62 @@ def imports(c: Catalog) -> DataFrame:
     return c.placed(c.kind("import")).where("guard <> 'type_checking_only'")
 
 
-def unsure(c: Catalog, symbols: list[str]) -> DataFrame:
-    """Modules with a call that may, but need not, mean one of the symbols."""
-    t = c.kind("call").where("state <> 'resolved'")
-    hit = F.arrays_overlap("candidates", F.array(*map(F.lit, symbols))) if symbols else F.lit(False)
-    return t.where(hit).select("module_id", F.lit("uncertain_symbol").alias("reason"))
+def relevant(policy: dict) -> list[tuple]:
+    """(rule_id, role or None, symbol, kind of fact, reason, first): names that matter to a rule, so that a fact which may,
+    but need not, mean one of them makes the rule's verdict uncertain. What is written is never looked at."""
+    b, tx = policy["boundaries"], policy["tx"]
+    with_effect = lambda *effects: [s for s, (e, _) in policy["effects"].items() if set(e) & set(effects)]
+    layers = [s for k in ("database_statement_calls", "transport_exception_calls", "dependency_injection_calls", "external_client_constructors", "raw_sql_calls") for s in b[k]]
+    rows = [(r, None, s, kind, "uncertain_symbol", True) for r in ("ENTRY001", "SERVICE001", "QUERY001", "MODEL001") for s in layers for kind in ("call", "reference")]
+    calls = {
+        "ADAPTER001": b["adapter_forbidden_calls"],
+        "DEPENDS001": b["dependency_injection_calls"],
+        "WIRING001": b["external_client_constructors"] + b["adapter_implementation_symbols"],
+        "CONFIG001": b["settings_constructors"],
+        "SEC001": with_effect("security.environment", "security.secret", "security.token"),
+        "LOG001": b["logged_external_calls"],
+        "HTTP001": b["http_timeout_calls"],
+        "TEST002": policy["code"]["raw_test_http_calls"],
+    }
+    rows += [(r, None, s, "call", "uncertain_symbol", True) for r, symbols in calls.items() for s in symbols]
+    rows += [("BOUNDARY001", role, s, "call", "uncertain_symbol", True) for x in policy["import_boundaries"] for role in x["roles"] for s in x.get("forbidden_calls", [])]
+    rows += [("SEC001", None, "os.environ", "reference", "uncertain_symbol", True)]
+    rows += [(r, None, s, "call", "uncertain_symbol", False) for r in ("SESSION001", "SESSION002") for s in tx["session_providers"]]
+    effects = {"TIME001": (True, ["time.now"]), "TX001": (True, ["tx.commit", "tx.rollback"]), "ASYNC001": (False, ["io.blocking"])}
+    rows += [(r, None, s, "call", "uncertain_effect", first) for r, (first, of) in effects.items() for s in with_effect(*of)]
+    rows += [("ORM001", None, s, "call", "uncertain_provider_fact", True) for s in RELATIONSHIPS]
+    rows += [("SQL001", None, s, "call", "uncertain_provider_fact", True) for s in b["raw_sql_calls"]]
+    return rows
+
+
+def uncertain(c: Catalog, rows: list[tuple]) -> DataFrame:
+    """rule_id, module_id, reason and first of the modules with an unresolved fact that may mean a relevant name: one join
+    for all rules. The names are configuration."""
+    names = c.spark.createDataFrame(rows, "rule_id string, of_role string, symbol string, kind string, reason string, first boolean")
+    facts = c.facts.where(F.col("kind").isin("call", "reference") & (F.col("state") != "resolved")).select("module_id", "kind", F.explode("candidates").alias("symbol")).distinct()
+    t = c.placed(facts.join(F.broadcast(names), ["symbol", "kind"]))
+    return t.where("of_role IS NULL OR of_role = role").select("rule_id", "module_id", "reason", "first").distinct()
+
+
+def unsure(c: Catalog, symbols: DataFrame) -> DataFrame:
+    """Modules with a call that may, but need not, mean one of the symbols (column canonical)."""
+    t = c.kind("call").where("state <> 'resolved'").select("module_id", F.explode("candidates").alias("canonical"))
+    return t.join(symbols, "canonical", "left_semi").select("module_id", F.lit("uncertain_symbol").alias("reason"))
+
+
+def unsure_import(prefixes_of: Callable[[Catalog], list[str]]) -> Plan:
+    """Modules with an import that was not found and may lie below the prefixes: a relative one, since an absolute import
+    names what it means."""
+
+    def plan(c: Catalog):
+        t = c.unresolved_imports.where((F.col("level") != "0") & under("symbol", prefixes_of(c)))
+        return t.select("module_id", F.lit("uncertain_import").alias("reason"))
+
+    return plan
+
+
+def without_role(c: Catalog) -> DataFrame:
+    return c.modules.where("role IS NULL").select("module_id", F.lit("missing_role").alias("reason"))
 
 
 def keyword(name: str) -> Column:
@@ -110,6 +163,23 @@ def _(c: Catalog):
     return found(whole(c.cycles.withColumnRenamed("component", "module_id").join(c.modules.select("module_id", F.col("path").alias("p")), "module_id").select("module_id", F.col("p").alias("path"), F.array_join("path", " > ").alias("cycle"))), "cycle", F.lit("cycle"))
 
 
+@doubt("ARCH002", "EXC001")
+def _(c: Catalog):
+    """What depends on the whole project is uncertain everywhere if a module could not be read."""
+    broken = c.modules.where("NOT complete").limit(1).select(F.lit(True).alias("_broken"))  # one row, if there are any
+    return c.modules.join(F.broadcast(broken)).select("module_id", F.lit("incomplete_project").alias("reason"))
+
+
+@doubt("BOUNDARY001")
+def _(c: Catalog):
+    return without_role(c) if c.policy["import_boundaries"] else without_role(c).limit(0)
+
+
+doubt("BOUNDARY002")(unsure_import(lambda c: c.policy["boundaries"]["external_modules"]))
+doubt("BOUNDARY003")(unsure_import(lambda c: c.policy["boundaries"]["contract_forbidden_modules"]))
+doubt("ADAPTER001")(unsure_import(lambda c: c.policy["boundaries"]["adapter_forbidden_modules"]))
+
+
 @rule("BOUNDARY001")
 def _(c: Catalog):
     parts = []
@@ -202,20 +272,40 @@ def _(c: Catalog):
     return found(t.where(~F.coalesce(registers, F.lit(False))), "canonical", "owner")
 
 
+def adapter_classes(c: Catalog) -> DataFrame:
+    """canonical: the classes of adapters that implement something, by their names."""
+    b = c.policy["boundaries"]
+    return c.classes.where(one_of("role", b["adapter_roles"])).where(reduce(lambda x, y: x | y, [F.endswith("name", F.lit(s)) for s in b["adapter_implementation_suffixes"]], F.lit(False))).select(F.col("symbol").alias("canonical")).distinct()
+
+
+@doubt("WIRING001")
+def _(c: Catalog):
+    return unsure(c, adapter_classes(c))
+
+
 @rule("WIRING001")
 def _(c: Catalog):
     b = c.policy["boundaries"]
-    ours = c.classes.where(one_of("role", b["adapter_roles"])).where(reduce(lambda x, y: x | y, [F.endswith("name", F.lit(s)) for s in b["adapter_implementation_suffixes"]], F.lit(False))).select(F.col("symbol").alias("canonical")).distinct()
+    ours = adapter_classes(c)
     fixed = c.spark.createDataFrame([(s,) for s in b["external_client_constructors"] + b["adapter_implementation_symbols"]] or [("",)], "canonical string")
     free = F.coalesce(one_of("role", b["bootstrap_roles"] + b["implementation_construction_roles"]), F.lit(False))
     scoped = F.coalesce(one_of("role", b["scoped_construction_roles"]), F.lit(False)) & (F.col("position") == "context_manager")
     return found(c.calls.where(~free & ~scoped).join(ours.union(fixed).distinct(), "canonical", "left_semi"), "canonical", "owner")
 
 
+def settings_classes(c: Catalog) -> DataFrame:
+    return c.bases.where(F.col("base").isin("pydantic_settings.BaseSettings", "pydantic.BaseSettings")).select(F.col("symbol").alias("canonical"))
+
+
+@doubt("CONFIG001")
+def _(c: Catalog):
+    return unsure(c, settings_classes(c))
+
+
 @rule("CONFIG001")
 def _(c: Catalog):
     b = c.policy["boundaries"]
-    own = c.bases.where(F.col("base").isin("pydantic_settings.BaseSettings", "pydantic.BaseSettings")).select(F.col("symbol").alias("canonical"))
+    own = settings_classes(c)
     fixed = c.spark.createDataFrame([(s,) for s in b["settings_constructors"]] or [("",)], "canonical string")
     free = F.coalesce(one_of("role", b["configuration_roles"] + b["bootstrap_roles"]), F.lit(False))
     return found(c.calls.where(~free).join(own.union(fixed).distinct(), "canonical", "left_semi"), "canonical", "owner")
@@ -245,12 +335,10 @@ def _(c: Catalog):
 
 @doubt("ASYNC001", first=False)
 def _(c: Catalog):
-    return unsure(c, [s for s, (e, _) in c.policy["effects"].items() if "io.blocking" in e])
-
-
-@doubt("TIME001")
-def _(c: Catalog):
-    return unsure(c, [s for s, (e, _) in c.policy["effects"].items() if "time.now" in e])
+    """A callback that may be run, of which it is not certain that it is, has a blocking effect."""
+    running = c.functions.where(attr("is_async") == "true").select(F.col("symbol").alias("owner")).distinct()
+    bits = mask(["io.blocking"])
+    return c.calls.join(running, "owner", "left_semi").join(c.possible_callback_effects, ["module_id", "n"]).where(F.col("possible_mask").bitwiseAND(bits) != 0).select("module_id", F.lit("callback_effect").alias("reason"))
 
 
 @rule("RUNTIME001")
@@ -290,25 +378,52 @@ def _(c: Catalog):
     return found(t.where(out & inside), "canonical", "owner")
 
 
-@rule("TX003")
-def _(c: Catalog):
+def write_counts(c: Catalog) -> DataFrame:
+    """module_id, path, line, column, symbol, lower and upper of the functions of services that no boundary protects: how
+    many writes to the database they make outside of transactions, for certain and at most."""
     from ..operators import graph
 
     writes = [s for s in c.policy["boundaries"]["database_statement_calls"] if s.rpartition(".")[2] in ("insert", "update", "delete", "create", "bulk_create", "bulk_update")]
     writes += [f"{s}.{m}" for s in c.policy["boundaries"]["session_type_symbols"] for m in ("add", "add_all", "delete", "merge")]
     tx = c.policy["tx"]
     safe = F.arrays_overlap(lines_of("contexts"), F.array(*map(F.lit, tx["boundary_contexts"] or [""])))
-    base = c.calls.where(one_of("canonical", writes) & (F.col("scope") != "module") & ~safe).select(F.col("owner").alias("node"), F.lit(1).alias("lower"), F.lit(1).alias("upper"))
-    edges = c.calls.where(~safe & (F.col("scope") != "module")).select(F.col("owner").alias("src"), F.col("canonical").alias("dst"), F.monotonically_increasing_id().alias("call")).join(c.functions.select(F.col("symbol").alias("dst")).distinct(), "dst", "left_semi")
+    calls = c.calls.where((F.col("scope") != "module") & ~safe).withColumn("call", F.concat_ws("#", "module_id", F.col("n").cast("string")))
+    possible = calls.where("state <> 'resolved'")
+    maybe_write = F.arrays_overlap("candidates", F.array(*map(F.lit, writes)))
+    base = calls.where(one_of("canonical", writes)).select(F.col("owner").alias("node"), F.lit(1).alias("lower"), F.lit(1).alias("upper"))
+    base = base.union(possible.where(maybe_write).select(F.col("owner"), F.lit(0), F.lit(1)))
+    certain = calls.where("state = 'resolved'").select(F.col("owner").alias("src"), F.col("canonical").alias("dst"), F.lit(True).alias("certain"), "call")
+    edges = certain.union(possible.select(F.col("owner"), F.explode("candidates"), F.lit(False), "call"))
+    edges = edges.join(c.functions.select(F.col("symbol").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "certain", "call")
     atomic = c.functions.where(F.arrays_overlap(lines_of("decorators"), F.array(*map(F.lit, tx["boundary_decorators"] or [""])))).select(F.col("symbol").alias("node"))
-    counts = graph.saturating_fixpoint(base, edges.select("src", "dst", "call"), cut=atomic)
-    t = c.functions.where(one_of("role", c.policy["boundaries"]["service_roles"])).join(counts.where("lower >= 2").select(F.col("node").alias("symbol")), "symbol", "left_semi").join(atomic.select(F.col("node").alias("symbol")), "symbol", "left_anti")
-    return found(t, "symbol", F.lit("writes"))
+    counts = graph.saturating_fixpoint(base, edges, cut=atomic).join(atomic, "node", "left_anti")
+    return c.functions.where(one_of("role", c.policy["boundaries"]["service_roles"])).join(counts.withColumnRenamed("node", "symbol"), "symbol")
+
+
+@rule("TX003")
+def _(c: Catalog):
+    return found(c.derived("write_counts", write_counts).where("lower >= 2"), "symbol", F.lit("writes"))
+
+
+@doubt("TX003", first=False)
+def _(c: Catalog):
+    return c.derived("write_counts", write_counts).where("lower < 2 AND upper >= 2").select("module_id", F.lit("uncertain_transaction_write").alias("reason"))
+
+
+def sessions_opened(c: Catalog) -> DataFrame:
+    """Calls that open a session, but for those of the providers themselves."""
+    providers = c.policy["tx"]["session_providers"]
+    return c.calls.where(one_of("canonical", providers) & ~one_of("owner", providers))
 
 
 @rule("SESSION001")
 def _(c: Catalog):
-    return found(c.calls.where(one_of("canonical", c.policy["tx"]["session_providers"]) & ~F.coalesce(one_of("role", c.policy["tx"]["owner_roles"]), F.lit(False)) & ~one_of("owner", c.policy["tx"]["session_providers"])), "canonical", "owner")
+    return found(sessions_opened(c).where(F.col("role").isNotNull() & ~one_of("role", c.policy["tx"]["owner_roles"])), "canonical", "owner")
+
+
+@doubt("SESSION001", first=False)
+def _(c: Catalog):
+    return sessions_opened(c).where("role IS NULL").select("module_id", F.lit("missing_role").alias("reason"))
 
 
 @rule("SESSION002")
@@ -324,13 +439,30 @@ def _(c: Catalog):
     return found(t.where(F.coalesce("_opens", F.lit(False)) | one_of("canonical", providers)), "canonical", "owner")
 
 
+# Methods of a session that control its transaction.
+TRANSACTION_CONTROL = ["begin", "begin_nested", "commit", "rollback"]
+
+
 @rule("SESSION003")
 def _(c: Catalog):
-    b = c.policy["boundaries"]
-    managed = [a["symbol"] for a in c.policy["approvals"] if a["rule"] == "SESSION003" and a.get("kind") in ("managed", "participant")]
-    t = c.functions.where(one_of("role", b["service_roles"]) & ~one_of("symbol", managed) & ~F.startswith("name", F.lit("_")))
-    t = t.withColumn("_i", F.explode("items")).where(F.col("_i.symbol").isin(*b["session_type_symbols"]))
-    return found(t, "_i.symbol", "symbol")
+    """Functions of services that take a session. Managed ones may; participants and private helpers that only their own
+    module calls may, as long as they neither open sessions nor control the transaction."""
+    b, tx = c.policy["boundaries"], c.policy["tx"]
+    approved = lambda kind: [a["symbol"] for a in c.policy["approvals"] if a["rule"] == "SESSION003" and a.get("kind") == kind]
+    of = lambda symbols: one_of("symbol", symbols) | (F.arrays_overlap(lines_of("decorators"), F.array(*map(F.lit, symbols))) if symbols else F.lit(False))
+    t = c.functions.where(one_of("role", b["service_roles"])).withColumn("_session", F.get(F.filter(F.transform("items", lambda i: i["symbol"]), lambda s: s.isin(*b["session_type_symbols"])), F.lit(0)))
+    t = t.where("_session IS NOT NULL").withColumn("_participant", of(approved("participant")) | one_of("role", tx["participant_roles"]))
+    t = t.where(F.col("_participant") | ~of(approved("managed")))
+    called = c.calls.where("state = 'resolved'").select(F.col("canonical").alias("symbol"), F.col("module_id").alias("_by")).distinct()
+    foreign = t.select("symbol", "module_id").join(called, "symbol").where("_by <> module_id").select("symbol", F.lit(True).alias("_foreign")).distinct()
+    t = t.join(foreign, "symbol", "left")
+    helper = F.startswith("name", F.lit("_")) & F.col("_foreign").isNull()
+    own = c.calls.select(F.col("owner").alias("symbol"), "module_id", F.col("canonical").alias("_call"))
+    method = F.substring_index("_call", ".", -1)
+    controls = one_of("_call", tx["session_providers"]) | (method.isin(*TRANSACTION_CONTROL) & (F.col("_call") == F.concat_ws(".", "_session", method)))
+    joined = t.where(F.col("_participant") | helper)
+    unsafe = joined.join(own, ["symbol", "module_id"]).where(controls).groupBy("module_id", "path", "line", "column", "symbol").agg(F.min("_call").alias("_call"))
+    return found(t.where(~F.col("_participant") & ~helper), "_session", "symbol").union(found(unsafe, "_call", "symbol"))
 
 
 # persistence
@@ -338,9 +470,9 @@ def _(c: Catalog):
 
 @rule("ORM001")
 def _(c: Catalog):
-    t = c.fields.where(F.col("attrs")["value"].rlike(r"^(sqlalchemy\.orm\.|orm\.)?relationship\("))
+    """Relationships of models, whatever name they were imported under."""
     lazy = F.regexp_replace(F.coalesce(keyword("lazy")["literal"], F.lit("")), "['\"]", "")
-    return found(t.where(~lazy.isin("raise", "raise_on_sql")), "symbol", F.lit("lazy"))
+    return found(c.calls.where(one_of("canonical", RELATIONSHIPS) & (F.col("scope") == "class") & ~lazy.isin("raise", "raise_on_sql")), "owner", F.lit("lazy"))
 
 
 @rule("ORM002")
@@ -379,7 +511,7 @@ def _(c: Catalog):
 @doubt("HTTP001", first=False)
 def _(c: Catalog):
     t = c.calls.where(one_of("canonical", c.policy["boundaries"]["http_timeout_calls"]) & keyword("timeout").isNull() & (attr("unpack") == "true"))
-    return t.select("module_id", F.lit("dynamic_keywords").alias("reason")).union(unsure(c, c.policy["boundaries"]["http_timeout_calls"]))
+    return t.select("module_id", F.lit("dynamic_keywords").alias("reason"))
 
 
 @rule("LOG001")
@@ -394,6 +526,13 @@ def _(c: Catalog):
     return found(c.calls.where((F.col("state") == "resolved") & F.col("effects").isNull() & under("canonical", c.policy["risky_prefixes"])), "canonical", "owner")
 
 
+@doubt("CAT001", first=False)
+def _(c: Catalog):
+    maybe = c.kind("call").where("state <> 'resolved'").select("module_id", F.explode("candidates").alias("_s"))
+    risky = reduce(lambda x, y: x | y, [F.startswith("_s", F.lit(p)) for p in c.policy["risky_prefixes"]], F.lit(False))
+    return maybe.where(risky).select("module_id", F.lit("uncertain_symbol").alias("reason"))
+
+
 # conventions
 
 
@@ -425,7 +564,7 @@ def _(c: Catalog):
 
 @doubt("SIZE001")
 def _(c: Catalog):
-    return c.modules.where("role IS NULL").select("module_id", F.lit("missing_role").alias("reason"))
+    return without_role(c)
 
 
 # shapes
@@ -512,6 +651,16 @@ def _(c: Catalog):
     return found(t.withColumn("_need", need).where("_need <> '' AND name <> 'model_config'"), "symbol", "_need")
 
 
+@doubt("API002", first=False)
+def _(c: Catalog):
+    """A field of a model whose declaring call may, but need not, be Pydantic's."""
+    names = ["pydantic.Field", "pydantic.fields.Field"]
+    calls = c.kind("call").where((F.col("state") != "resolved") & (F.col("scope") == "class") & F.arrays_overlap("candidates", F.array(*map(F.lit, names)))).select("module_id", "owner", "line")
+    fields = c.fields.where(one_of("role", c.policy["code"]["schema_roles"]) & (attr("value_kind") == "Call")).select("module_id", "owner", "line")
+    own = models(c).select(F.col("symbol").alias("owner"))
+    return fields.join(calls, ["module_id", "owner", "line"]).join(own, "owner", "left_semi").select("module_id", F.lit("uncertain_field_declaration").alias("reason"))
+
+
 @rule("API003")
 def _(c: Catalog):
     made = c.calls.where("canonical = 'fastapi.APIRouter'").where(keyword("tags").isNull())
@@ -546,6 +695,19 @@ def _(c: Catalog):
     return union(found(coded.where("code IS NULL"), "symbol", F.lit("missing_code")), found(coded.join(twice, "code", "left_semi"), "symbol", "code"), found(unused, "code", F.lit("unused_code")))
 
 
+@doubt("EXC001")
+def _(c: Catalog):
+    """A constructor of an exception hands its code to a call that may be another exception's constructor."""
+    code = c.policy["code"]
+    if not code["exception_base_symbols"]:
+        return without_role(c).limit(0)
+    made = inherits(c, c.classes, "symbol", code["exception_base_symbols"]).select(F.concat_ws(".", "symbol", F.lit("__init__")).alias("made")).distinct()
+    named = F.exists("items", lambda i: i["name"].isin(*code["exception_code_argument_names"]))
+    t = c.kind("call").where((F.col("state") != "resolved") & named).select("module_id", F.col("owner").alias("made"), "candidates")
+    t = t.join(made, "made", "left_semi").select("module_id", F.explode("candidates").alias("made")).join(made, "made", "left_semi")
+    return t.select("module_id", F.lit("uncertain_symbol").alias("reason"))
+
+
 @rule("TEST001")
 def _(c: Catalog):
     roots = c.policy["code"]["test_root_paths"]
@@ -578,13 +740,12 @@ def applies(policy: dict) -> dict[str, Column]:
     """Conditions on a module (role and path) without which a rule says nothing about it."""
     b, code = policy["boundaries"], policy["code"]
     in_roles = lambda roles: F.coalesce(one_of("role", roles), F.lit(False))
-    found_ = {"ARCH001": F.col("role").isNotNull(), "BOUNDARY001": in_roles(sorted({r for x in policy["import_boundaries"] for r in x["roles"]})), "TEST001": F.col("path").rlike(r"(^|/)conftest\.py\z"), "IGNORE001": F.lit(False)}
+    found_ = {"ARCH001": F.col("role").isNotNull(), "BOUNDARY001": in_roles(sorted({r for x in policy["import_boundaries"] for r in x["roles"]})) | (F.col("role").isNull() & F.lit(bool(policy["import_boundaries"]))), "TEST001": F.col("path").rlike(r"(^|/)conftest\.py\z"), "IGNORE001": F.lit(False)}
     sets = {"BOUNDARY002": "service_roles", "BOUNDARY003": "contract_roles", "ADAPTER001": "adapter_roles", "ADAPTER002": "adapter_roles", "ENTRY001": "entry_roles", "SERVICE001": "service_roles", "QUERY001": "query_roles", "MODEL001": "model_roles", "SESSION003": "service_roles"}
     found_ |= {r: in_roles(b[k]) for r, k in sets.items()}
     found_ |= {r: in_roles(code[k]) for r, k in {"DTO001": "dto_roles", "DTO002": "dto_roles", "SCHEMA001": "schema_roles", "SCHEMA002": "schema_roles", "API002": "schema_roles"}.items()}
-    found_["WIRING001"] = ~in_roles(b["bootstrap_roles"] + b["implementation_construction_roles"])
-    found_["CONFIG001"] = ~in_roles(b["configuration_roles"] + b["bootstrap_roles"])
-    return found_
+    found_["ORM001"] = in_roles(b["model_roles"])
+    return found_ | {r: F.col("role").isNotNull() for r in ("WIRING001", "CONFIG001", "DEPENDS001", "SEC001")}
 
 
 def evaluate(c: Catalog, rules: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -592,8 +753,20 @@ def evaluate(c: Catalog, rules: list[str] | None = None) -> tuple[DataFrame, Dat
     module of the rule's zones. findings: those of failed evaluations, with level and fingerprint."""
     chosen = [r for r in (RULES if rules is None else rules) if c.policy["levels"][r] != "off"]
     tag = lambda df, name: df.withColumn("rule_id", F.lit(name))
-    raw = [tag(df, r).select("rule_id", *COLUMNS) for r in chosen if (df := FINDINGS[r](c)) is not None]
-    unsure_ = [tag(plan(c), r).select("rule_id", "module_id", "reason", F.lit(first).alias("first")) for r in chosen if r in DOUBTS for plan, first in [DOUBTS[r]]]
+    raw, unsure_ = [], []
+    for r in chosen:
+        try:  # a rule that fails takes no other with it
+            own = FINDINGS[r](c)
+            doubts = [tag(plan(c), r).select("rule_id", "module_id", "reason", F.lit(first).alias("first")) for plan, first in DOUBTS.get(r, [])]
+        except Exception as e:
+            c.failures.append((r, str(e).splitlines()[0] if str(e) else type(e).__name__))
+            unsure_.append(tag(c.modules, r).select("rule_id", "module_id", F.lit("RULE_FAILURE").alias("reason"), F.lit(True).alias("first")))
+            continue
+        raw += [tag(own, r).select("rule_id", *COLUMNS)] if own is not None else []
+        unsure_ += doubts
+    failed = {r for r, _ in c.failures}
+    if names := [x for x in relevant(c.policy) if x[0] in chosen and x[0] not in failed]:
+        unsure_.append(uncertain(c, names))
     scope = c.spark.createDataFrame([(r, z, c.policy["levels"][r]) for r in chosen for z in c.policy["rule_zones"][r]], "rule_id string, zone string, level string")
     targets = c.modules.select("module_id", "path", "role", "zone", "complete").join(F.broadcast(scope), "zone")  # rules and zones are configuration
     conditions = [(F.col("rule_id") == r) & ~condition for r, condition in applies(c.policy).items() if r in chosen]
@@ -602,7 +775,7 @@ def evaluate(c: Catalog, rules: list[str] | None = None) -> tuple[DataFrame, Dat
     hits = reduce(DataFrame.unionByName, raw, empty)
     doubts = reduce(DataFrame.union, unsure_, c.spark.createDataFrame([], "rule_id string, module_id string, reason string, first boolean"))
     per_hit = hits.groupBy("rule_id", "module_id").agg(F.count("*").alias("hits"))
-    per_doubt = doubts.groupBy("rule_id", "module_id").agg(F.min("reason").alias("doubt"), F.bool_or("first").alias("first"))
+    per_doubt = doubts.groupBy("rule_id", "module_id").agg(F.min(F.struct(~F.col("first"), "reason"))["reason"].alias("doubt"), F.bool_or("first").alias("first"))
     t = targets.join(per_hit, ["rule_id", "module_id"], "left").join(per_doubt, ["rule_id", "module_id"], "left")
     verdict = F.when(~F.col("complete"), "indeterminate").when(F.col("silent"), "not_applicable").when(F.col("first"), "indeterminate").when(F.col("hits") > 0, "fail").when(F.col("doubt").isNotNull(), "indeterminate").otherwise("pass")
     reason = F.when(~F.col("complete"), "incomplete_module").when(verdict == "indeterminate", F.col("doubt"))

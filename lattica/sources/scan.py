@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from ..operators.names import glob_match, module_identity
 
 # Directories that hold no owned source.
-IGNORED = [".git", ".hg", ".svn", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox", "node_modules", "build", "dist", ".eggs"]
+IGNORED = [
+    ".bzr", ".direnv", ".eggs", ".git", ".git-rewrite", ".hg", ".ipynb_checkpoints", ".lattica_cache", ".mypy_cache", ".nox",
+    ".pants.d", ".pyenv", ".pytest_cache", ".pytype", ".research", ".ruff_cache", ".svn", ".tox", ".venv", ".vscode",
+    "__pycache__", "__pypackages__", "_build", "buck-out", "build", "dist", "node_modules", "site-packages", "venv",
+]
 
 
 def _empty_files(store, path) -> list[str]:

@@ -31,19 +31,18 @@ def random_graph(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("local", [0, 1000])
-def test_recursive_operators_against_brute_force(spark, seed, local):
+def test_recursive_operators_against_brute_force(spark, seed):
     edges = random_graph(seed)
     df, r = make(spark, edges), reach(edges)
     seeds = spark.createDataFrame([(edges[0][0],)], "node long")
-    assert {x[0] for x in graph.reachable(df, seeds, local_rows=local).collect()} == r[edges[0][0]] | {edges[0][0]}
+    assert {x[0] for x in graph.reachable(df, seeds).collect()} == r[edges[0][0]] | {edges[0][0]}
     cyc = {n: min(m for m in r[n] if n in r[m]) for n in r if n in r[n]}
-    comps = graph.scc(df, local_rows=local)
+    comps = graph.scc(df)
     assert dict(map(tuple, comps.collect())) == cyc
     base = spark.createDataFrame([(n, 1 << n) for n in r], "node long, mask long")
-    masks = dict(map(tuple, graph.mask_fixpoint(base, df, local_rows=local).collect()))
+    masks = dict(map(tuple, graph.mask_fixpoint(base, df).collect()))
     assert masks == {n: (1 << n) | sum(1 << m for m in r[n] - {n}) for n in r}
-    for row in graph.cycle_witness(df, comps, local_rows=local).collect():
+    for row in graph.cycle_witness(df, comps).collect():
         assert row.path[0] == row.path[-1] == row.component and all(e in edges for e in zip(row.path, row.path[1:]))
 
 
