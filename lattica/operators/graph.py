@@ -1,7 +1,7 @@
 """Recursive operators: loops of joins over tables that shrink to what is new.
 
-Each round is one join on hashed keys and one anti join; its outcome is written to the shared folder, so that the lineage
-stays short and a lost executor costs one task. Every loop ends by itself (sets only grow) or at a stated limit.
+Each round is a plan of a few joins on hashed keys (HOPS steps along the edges) and one anti join; its outcome is written
+to the shared folder, so that the lineage stays short and a lost executor costs one task. Every loop ends by itself (sets only grow) or at a stated limit.
 """
 
 from pyspark.sql import DataFrame
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-#: Rounds after which a growing union of tables is written as one.
-UNION = 8
+#: Rounds after which a growing union of tables is written as one, and steps along edges that a round takes in one plan.
+UNION, HOPS = 8, 4
 
 
 class LimitReached(RuntimeError):
@@ -23,8 +23,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> D
     steps = written(edges.select("src", "dst").where("src <> dst").distinct())
     known = frontier = written(seeds.select("node").distinct())
     for step in range(1, max_rounds + 1):
-        found = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = written(found.join(known, "node", "left_anti"))
+        ahead, found = frontier, None
+        for _ in range(HOPS):
+            ahead = ahead.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            found = ahead if found is None else found.union(ahead)
+        frontier = written(found.distinct().join(known, "node", "left_anti"))
         if frontier.isEmpty():
             return known
         known = known.union(frontier) if step % UNION else written(known.union(frontier))
@@ -61,21 +64,28 @@ def scc(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     left = written(edges.select("src", "dst").where("src <> dst").distinct())
     found = None
     for _ in range(max_rounds):
-        while True:  # trim
-            before = left.count()
-            sources, targets = left.select(F.col("src").alias("n")).distinct(), left.select(F.col("dst").alias("n")).distinct()
-            left = written(left.join(targets, F.col("src") == F.col("n"), "left_semi").join(sources, F.col("dst") == F.col("n"), "left_semi"))
-            if (now := left.count()) == before:
-                break
+        before = None
+        while before != (now := left.count()):  # trim
+            before = now
+            for _ in range(HOPS):
+                sources, targets = left.select(F.col("src").alias("n")).distinct(), left.select(F.col("dst").alias("n")).distinct()
+                left = left.join(targets, F.col("src") == F.col("n"), "left_semi").join(sources, F.col("dst") == F.col("n"), "left_semi")
+            left = written(left)
         if not now:
             break
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
         colour = written(nodes.withColumn("c", F.col("node")))
         while True:
-            offered = left.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("o"))
-            new = written(colour.join(offered, "node", "left").select("node", F.least("c", F.coalesce("o", "c")).alias("c"), (F.col("o") < F.col("c")).alias("changed")))
+            new = colour
+            for _ in range(HOPS):
+                offered = left.join(new, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("o"))
+                new = new.join(offered, "node", "left").select("node", F.least("c", F.coalesce("o", "c")).alias("c"))
+            # what reaches a node's colour reaches the node
+            jump = new.select(F.col("node").alias("c"), F.col("c").alias("o"))
+            new = new.join(jump, "c", "left").select("node", F.least("c", F.coalesce("o", "c")).alias("c"))
+            new = written(new.join(colour.withColumnRenamed("c", "was"), "node"))
             colour = new.select("node", "c")
-            if new.where("changed").isEmpty():
+            if new.where("c <> was").isEmpty():
                 break
         inside = left.join(colour.withColumnRenamed("c", "a"), F.col("src") == F.col("node")).drop("node").join(colour.withColumnRenamed("c", "b"), F.col("dst") == F.col("node")).where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         members = reachable(inside, colour.where("node = c").select("node")).join(colour, "node").select("node", F.col("c").alias("component"))
@@ -108,12 +118,17 @@ def set_fixpoint(base: DataFrame, edges: DataFrame) -> DataFrame:
     next round."""
     steps = written(edges.select("src", "dst").where("src <> dst").distinct())
     known = delta = written(base.select("node", "value").distinct())
+    step = 0
     while True:
-        offered = delta.join(steps, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "value").distinct()
-        delta = written(offered.join(known, ["node", "value"], "left_anti"))
+        step += 1
+        ahead, found = delta, None
+        for _ in range(HOPS):
+            ahead = ahead.join(steps, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "value").distinct()
+            found = ahead if found is None else found.union(ahead)
+        delta = written(found.distinct().join(known, ["node", "value"], "left_anti"))
         if delta.isEmpty():
             return known
-        known = written(known.union(delta))
+        known = known.union(delta) if step % UNION else written(known.union(delta))
 
 
 def mask_fixpoint(base: DataFrame, edges: DataFrame) -> DataFrame:
@@ -124,7 +139,11 @@ def mask_fixpoint(base: DataFrame, edges: DataFrame) -> DataFrame:
     known = written(nodes.join(base.groupBy("node").agg(F.bit_or("mask").alias("mask")), "node", "left").select("node", F.coalesce("mask", F.lit(0)).cast("long").alias("mask")))
     delta = known.where("mask <> 0")
     while True:
-        offered = delta.join(steps, F.col("node") == F.col("dst")).groupBy(F.col("src").alias("node")).agg(F.bit_or("mask").alias("o"))
+        ahead, offered = delta, None
+        for _ in range(HOPS):
+            ahead = ahead.join(steps, F.col("node") == F.col("dst")).groupBy(F.col("src").alias("node")).agg(F.bit_or("mask").alias("mask"))
+            offered = ahead if offered is None else offered.union(ahead)
+        offered = offered.groupBy("node").agg(F.bit_or("mask").alias("o"))
         both = written(known.join(offered, "node", "left").select("node", F.col("mask").bitwiseOR(F.coalesce("o", F.lit(0).cast("long"))).alias("mask"), F.col("mask").alias("old")))
         known, delta = both.select("node", "mask"), both.where("mask <> old").select("node", "mask")
         if delta.isEmpty():
@@ -180,15 +199,26 @@ def cycle_witness(edges: DataFrame, components: DataFrame) -> DataFrame:
     inner = edges.select("src", "dst").distinct().join(components.select(F.col("node").alias("src"), "component"), "src").join(components.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2").select("component", "src", "dst")
     inner = written(inner)
     start = written(components.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("path")))
-    done, seen, now, step = None, start.select("component", "node"), start, 0
+    done, seen, now = None, start.select("component", "node"), start
+
+    def further(paths: DataFrame) -> DataFrame:
+        to = paths.join(inner, (paths["component"] == inner["component"]) & (paths["node"] == inner["src"])).select(paths["component"], F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        return to.groupBy("component", "node").agg(F.min("path").alias("path"))
+
+    step = 0
     while not now.isEmpty():
         step += 1
-        ahead = now.join(inner, (now["component"] == inner["component"]) & (now["node"] == inner["src"])).select(now["component"], F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        ahead = written(ahead.groupBy("component", "node").agg(F.min("path").alias("path")))
-        closed = ahead.where("node = component").select("component", "path")
-        done = closed if done is None else written(done.union(closed))
-        open_ = ahead.where("node <> component").join(done, "component", "left_anti")
-        now = written(open_.join(seen, ["component", "node"], "left_anti").select("component", "node", "path"))
-        seen = seen.union(now.select("component", "node"))
-        seen = seen if step % UNION else written(seen)
+        ahead, steps = now, None
+        for hop in range(HOPS):
+            ahead = further(ahead.where("node <> component") if hop else ahead)
+            own = ahead.withColumn("hop", F.lit(hop))
+            steps = own if steps is None else steps.union(own)
+        steps = written(steps)
+        ended = steps.where("node = component").groupBy("component").agg(F.min_by("path", "hop").alias("path"))
+        open_ = steps.where(f"hop = {HOPS - 1} AND node <> component").join(ended, "component", "left_anti").drop("hop")
+        seen = seen.union(steps.where(f"hop < {HOPS - 1}").select("component", "node"))
+        now = open_.join(seen, ["component", "node"], "left_anti")
+        done, seen = ended if done is None else done.union(ended), seen.union(open_.select("component", "node"))
+        if step % UNION == 0:
+            done, seen, now = written(done), written(seen), written(now)
     return done if done is not None else start.select("component", "path")
