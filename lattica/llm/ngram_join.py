@@ -16,8 +16,8 @@ The global order of n-grams is the order of their hashes. It is cut into fragmen
    a task takes two chunks and joins their sets breadth first, each being compared only with those not joined yet, so a
    group of near copies costs about as many comparisons as it has members.
 3. To count. Sets that candidates tie together form clusters. A cluster of more than CHUNK sets is dealt to bands of sizes,
-   four to the ratio that links allow, and a band to chunks of about CHUNK by hash; pairs of chunks whose bands can link are
-   tiles. For each tile and fragment a task counts the partial overlaps of all pairs as one matrix product; the matrices of
+   as wide as the ratio that links allow, and a band to chunks of about CHUNK by hash; pairs of chunks of one band or of
+   neighbouring ones are tiles. For each tile and fragment a task counts the partial overlaps of all pairs as one matrix product; the matrices of
    a tile's fragments are then summed, pair by pair, and every sum is compared with the threshold exactly. What leaves a
    tile is a row for each set (its number of links and the root of its links in the tile), not a row for each pair.
 
@@ -49,7 +49,7 @@ CELLS = 1 << 21
 #: Times a signature occurs among the sets at hand from which on it is dealt by document, and to how many places.
 HOT, DEALT = 64, 256
 #: Sets of a tile's side, bands of sizes to the ratio of linked sets, and n-grams of a fragment that is counted at once.
-CHUNK, BANDS, FRAGMENT = 256, 4, 256
+CHUNK, BANDS, FRAGMENT = 256, 1, 256
 #: Distinct sets a task remembers so that copies in its partition emit nothing twice.
 SEEN = 200_000
 
