@@ -17,8 +17,9 @@ The global order of n-grams is the order of their hashes. It is cut into fragmen
    group of near copies costs about as many comparisons as it has members.
 3. To count. Sets that candidates tie together form clusters. A cluster of more than CHUNK sets is dealt to bands of sizes,
    as wide as the ratio that links allow, and a band to chunks of about CHUNK by hash; pairs of chunks of one band or of
-   neighbouring ones are tiles. For each tile and fragment a task counts the partial overlaps of all pairs as one matrix product; the matrices of
-   a tile's fragments are then summed, pair by pair, and every sum is compared with the threshold exactly. What leaves a
+   neighbouring ones are tiles. Of the texts, about those that are compared are shuffled, and once: see among(). For each
+   tile and fragment a task counts the partial overlaps of all pairs as one matrix product; the matrices of a tile's
+   fragments are then summed, pair by pair, and every sum is compared with the threshold exactly. What leaves a
    tile is a row for each set (its number of links and the root of its links in the tile), not a row for each pair.
 
 Hot keys are split. A signature that occurs HOT times or more among the sets that a task has at hand is dealt by document,
@@ -50,6 +51,8 @@ CELLS = 1 << 21
 HOT, DEALT = 64, 256
 #: Sets of a tile's side, bands of sizes to the ratio of linked sets, and n-grams of a fragment that is counted at once.
 CHUNK, BANDS, FRAGMENT = 256, 1, 256
+#: Bits of the map of the documents whose texts are read once more; the words that hold them are broadcast.
+BITS = 1 << 25
 #: Distinct sets a task remembers so that copies in its partition emit nothing twice.
 SEEN = 200_000
 
@@ -339,30 +342,38 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[tuple,
         yield key, held
 
 
-SEGMENT = "cluster long, chunk long, fragment int, n long, doc_id long, k1 long, copies long, grams binary"
+SEGMENT = "cluster long, chunk long, tiles array<struct<i:long,j:long>>, fragment int, n long, doc_id long, k1 long, copies long, grams binary"
+SEGMENT_NAMES = ["cluster", "chunk", "tiles", "fragment", "n", "doc_id", "k1", "copies", "grams"]
 PARTIAL = "cluster long, i long, j long, fragment int, docs array<long>, sizes array<long>, copies array<long>, rows int, lengths binary, apart binary"
 
 
 def _segments(members: DataFrame, n: int) -> DataFrame:
-    """A row for each fragment of each member (columns doc_id, text, k1, k2, cluster, chunk, copies, fragments)."""
+    """A row for each fragment of each member (columns doc_id, text, k1, k2, cluster, chunk, copies, fragments, tiles)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in SEGMENT.split(", ")]
         for b in batches:
             out = []
-            for doc, text, k1, k2, cluster, chunk, copies, fragments in zip(*(c.to_pylist() for c in b.columns)):
+
+            def rows() -> pa.RecordBatch:
+                cluster, chunk, row, *rest = zip(*out)
+                kinds = [pa.int32(), *[pa.int64()] * 4, pa.binary()]
+                columns = [pa.array(cluster, pa.int64()), pa.array(chunk, pa.int64()), tiles.take(pa.array(row, pa.int32()))]
+                return pa.RecordBatch.from_arrays([*columns, *(pa.array(x, k) for x, k in zip(rest, kinds))], names=SEGMENT_NAMES)
+
+            tiles = b.column(8)
+            for at_row, (doc, text, k1, k2, cluster, chunk, copies, fragments) in enumerate(zip(*(c.to_pylist() for c in b.columns[:8]))):
                 x = ngrams(text, n)
                 if _keys(x) != (k1, k2):
                     continue  # another text of the same id
                 at = np.searchsorted(((x >> S32) * np.uint64(fragments)) >> S32, np.arange(fragments + 1))
-                out += [(cluster, chunk, f, len(x), doc, k1, copies, x[at[f] : at[f + 1]].tobytes()) for f in range(fragments)]
+                out += [(cluster, chunk, at_row, f, len(x), doc, k1, copies, x[at[f] : at[f + 1]].tobytes()) for f in range(fragments)]
                 if len(out) > 2000:
-                    yield _batch(out, names, SEGMENT)
+                    yield rows()
                     out = []
             if out:
-                yield _batch(out, names, SEGMENT)
+                yield rows()
 
-    return members.select("doc_id", "text", "k1", "k2", "cluster", "chunk", "copies", "fragments").mapInArrow(of, SEGMENT)
+    return members.select("doc_id", "text", "k1", "k2", "cluster", "chunk", "copies", "fragments", "tiles").mapInArrow(of, SEGMENT)
 
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
@@ -452,6 +463,17 @@ def _sum(num: int, den: int):
     return of
 
 
+def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose doc_id is not in wanted, so that they need not be shuffled: a map of BITS bits, one
+    for each value of a hash, is broadcast as at most BITS / 64 words. Rows of a value that some wanted id has stay, so an
+    exact join has to follow."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    word, bit = F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {BITS}L) % 64 AS INT))").alias("_bit")
+    words = wanted.select(word, bit).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    left = rows.select("*", word, bit).alias("l")
+    return left.join(F.broadcast(words.alias("w")), F.expr("l._word = w._word AND (l._bit & w._bits) <> 0"), "left_semi").select(*rows.columns)
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_shingles (size of its set), component_id (smallest id reachable by links, itself
     included) and n_links (rows linked with it, copies of its set included). Two rows link when
@@ -474,9 +496,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     signatures = _signatures(texts, n, num, den).withColumn("_a", F.lag("doc_id").over(by_sig)).withColumn("_z", F.lead("doc_id").over(by_sig))
     shared = signatures.where("shared OR _a IS NOT NULL OR _z IS NOT NULL").select("sig", "place", "doc_id", "shared")
     blocks = written(shared.mapInArrow(_blocks, BLOCKS))
-    about = usable.groupBy("doc_id").agg(F.count_distinct("k1", "k2").alias("_texts"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in key]
+    about = usable.groupBy("doc_id").agg(*ends, F.first("n_shingles").alias("n"), F.first("parts").alias("parts"))
     # an id with several texts has no one set, so its pairs are candidates as they are
-    one, many = about.where("_texts = 1"), about.where("_texts > 1").select("doc_id")
+    alike = "min_k1 = max_k1 AND min_k2 = max_k2"
+    one, many = about.where(alike), about.where(f"NOT ({alike})").select("doc_id")
     left, right = (one.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("parts").alias(f"parts_{x}")) for x in "ab")
     pairs = blocks.where("kind = 0").select("a", "b").distinct()
     near = pairs.join(left, "a").join(right, "b").select("a", "b", "parts_a", "n_a", "parts_b", "n_b").mapInArrow(_may_link_pairs(num, den), TIES)
@@ -515,12 +539,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     of_chunk = tiles.select("cluster", F.col("i").alias("chunk"), "i", "j").union(tiles.where("i <> j").select("cluster", F.col("j").alias("chunk"), "i", "j"))
 
     # the text of a representative; with several rows of its id, the one whose set it is
-    wanted = members.select("k1", "k2", "cluster", "chunk", "copies", "fragments", (F.col("sets") > CHUNK).alias("cut"), F.col("rep").alias("doc_id"))
-    found = texts.join(wanted, "doc_id")
     place = ["cluster", "i", "j"]
-    whole = _segments(found.where("NOT cut"), n).withColumn("i", F.col("chunk")).withColumn("j", F.col("chunk"))
-    cut = _segments(found.where("cut"), n).join(of_chunk, ["cluster", "chunk"])
-    of_tile = whole.unionByName(cut).select(*place, "fragment", "chunk", "n", "doc_id", "k1", "copies", "grams")
+    tiles_of = of_chunk.groupBy("cluster", "chunk").agg(F.collect_list(F.struct("i", "j")).alias("tiles"))
+    own = F.array(F.struct(F.col("chunk").alias("i"), F.col("chunk").alias("j")))
+    wanted = members.join(tiles_of, ["cluster", "chunk"], "left").select("k1", "k2", "cluster", "chunk", "copies", "fragments", F.coalesce("tiles", own).alias("tiles"), F.col("rep").alias("doc_id"))
+    found = among(texts, members.select(F.col("rep").alias("doc_id"))).join(wanted.hint("merge"), "doc_id")
+    of_tile = _segments(found, n).select("*", F.explode("tiles").alias("tile")).select("cluster", "tile.i", "tile.j", "fragment", "chunk", "n", "doc_id", "k1", "copies", "grams")
     partial = of_tile.repartition(*place, "fragment").sortWithinPartitions(*place, "fragment", "chunk", "n", "doc_id", "k1").mapInArrow(_count, PARTIAL)
     linked = written(partial.repartition(*place).sortWithinPartitions(*place, "fragment").mapInArrow(_sum(num, den), LINKED))
 
