@@ -161,7 +161,8 @@ def saturating_fixpoint(base: DataFrame, edges: DataFrame, most: int = 2, cut: D
     if "certain" not in steps.columns:
         steps = steps.withColumn("certain", F.lit(True))
     if "call" not in steps.columns:
-        steps = steps.withColumn("call", F.monotonically_increasing_id())
+        # written at once: a lost task that is run again may number its rows in another order
+        steps = written(steps.withColumn("call", F.monotonically_increasing_id()))
     if cut is not None:
         steps = steps.join(cut.select(F.col("node").alias("dst")), "dst", "left_anti")
     steps = written(steps)

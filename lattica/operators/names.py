@@ -20,12 +20,11 @@ def dotted_prefixes(name: Column) -> Column:
 def prefix_join(left: DataFrame, name: str, right: DataFrame, prefix: str, how: str = "inner") -> DataFrame:
     """Each row of left with the row of right whose `prefix` is the longest dotted prefix of `name`; right's prefixes are
     distinct. how: inner, or left to keep rows without a match (right's columns are then null)."""
-    numbered = left.select(F.struct(*left.columns).alias("_l"), F.col(name).alias("_n")).withColumn("_id", F.monotonically_increasing_id())
-    tried = numbered.select("_id", "_l", F.posexplode_outer(dotted_prefixes(F.col("_n"))).alias("_rank", "_p"))
+    tried = left.select(F.col(name).alias("_n")).distinct().select("_n", F.posexplode(dotted_prefixes(F.col("_n"))).alias("_rank", "_p"))
     known = right.select(F.struct(*right.columns).alias("_r"), F.col(prefix).alias("_p"))
-    joined = tried.join(known, "_p", "left" if how == "left" else "inner")
-    best = joined.groupBy("_id").agg(F.first("_l").alias("_l"), F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("_rank"))).alias("_r"))
-    return best.select("_l.*", "_r.*")
+    best = tried.join(known, "_p").groupBy("_n").agg(F.min_by("_r", "_rank").alias("_r"))
+    rows = left.select(F.struct(*left.columns).alias("_l"), F.col(name).alias("_n"))
+    return rows.join(best, "_n", "left" if how == "left" else "inner").select("_l.*", "_r.*")
 
 
 def longest_prefix(left: DataFrame, key: str, name: str, prefixes: DataFrame, prefix: str) -> DataFrame:
