@@ -34,6 +34,12 @@ def calls_of(c: Catalog, symbols: list[str]) -> DataFrame:
     return c.calls.where(one_of("canonical", symbols) | F.arrays_overlap("candidates", F.array(*map(F.lit, symbols))))
 
 
+def bound_to(c: Catalog, symbols: list[str]) -> DataFrame:
+    """symbol: names whose value is a call of one of the symbols, however the call is written."""
+    t = c.fields.where(attr("value_kind") == "Call").select("symbol", attr("value_symbol").alias("called"))
+    return c.canonical(t, "called").where(one_of("canonical", symbols)).select("symbol").distinct()
+
+
 def last_part(column: str = "canonical"):
     return F.substring_index(column, ".", -1)
 
@@ -75,6 +81,7 @@ def _(c):
 # Pydantic
 
 MODEL_BASES = ["pydantic.BaseModel", "pydantic.main.BaseModel"]
+CONFIGS = ["pydantic.ConfigDict", "pydantic.config.ConfigDict"]
 
 
 def model_names(c: Catalog) -> DataFrame:
@@ -95,10 +102,19 @@ def _(c):
 
 @view("pydantic.configs")
 def _(c):
+    """Configurations as a field (v2 named model_config, v1 named Config; options are the arguments of a ConfigDict call,
+    positional ones named by their place) or as a nested class Config (v1; options are its fields)."""
     own = model_names(c).select(F.col("symbol").alias("owner")).distinct()
-    t = c.fields.where("name IN ('model_config', 'Config')").join(own, "owner", "left_semi").select(*BASE, "owner", "items")
-    nested = c.classes.where("name = 'Config'").join(own, "owner", "left_semi").select(*BASE, "owner", F.array().cast(c.fields.schema["items"].dataType).alias("items"))
-    return rows(t.union(nested).withColumn("state", F.lit("resolved")), "owner", F.transform("items", lambda i: F.struct(i["name"].alias("option"), i["text"].alias("value"))).alias("options"))
+    pair = lambda name, value: F.struct(name.alias("option"), value.alias("value"))
+    of_call = F.transform("items", lambda i: pair(F.coalesce(i["name"], i["position"].cast("string")), i["text"]))
+    called = c.canonical(c.fields.where("name IN ('model_config', 'Config')").withColumn("called", attr("value_symbol")), "called")
+    direct = (attr("value_kind") == "Call") & one_of("canonical", CONFIGS)
+    t = called.join(own, "owner", "left_semi").select(*BASE, "owner", F.when(F.col("name") == "Config", "v1").otherwise("v2").alias("version"), F.when(direct, of_call).otherwise(F.filter(of_call, lambda _: F.lit(False))).alias("options"))
+    nested = c.classes.where("name = 'Config'").join(own, "owner", "left_semi").select(*BASE, "owner", F.lit("v1").alias("version"), F.col("symbol").alias("inside"))
+    within = c.fields.where(attr("value_kind") != "").select(F.col("owner").alias("inside"), F.struct("line", "column").alias("at"), pair(F.col("name"), attr("value")).alias("option"))
+    listed = within.groupBy("inside").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "option"))), lambda x: x["option"]).alias("options"))
+    nested = nested.join(listed, "inside", "left").withColumn("options", F.coalesce("options", F.filter(F.array(pair(F.lit(""), F.lit(""))), lambda _: F.lit(False)))).drop("inside")
+    return rows(t.unionByName(nested).withColumn("state", F.lit("resolved")), "owner", "version", "options")
 
 
 def _model_decorators(names: list[str]):
@@ -139,13 +155,13 @@ def _(c):
 
 SQL_BASES = ["sqlalchemy.orm.DeclarativeBase", "sqlalchemy.orm.decl_api.DeclarativeBase", "sqlalchemy.orm.MappedAsDataclass"]
 SQL_FACTORIES = ["sqlalchemy.orm.declarative_base", "sqlalchemy.ext.declarative.declarative_base"]
+SQL_MAKERS = ["sqlalchemy.orm.sessionmaker", "sqlalchemy.orm.session.sessionmaker", "sqlalchemy.ext.asyncio.async_sessionmaker"]
 SQL_SESSIONS = ["sqlalchemy.orm.Session", "sqlalchemy.orm.sessionmaker", "sqlalchemy.ext.asyncio.AsyncSession", "sqlalchemy.ext.asyncio.async_sessionmaker"]
 
 
 def sql_models(c: Catalog) -> DataFrame:
     """Classes below a declarative base, or below a name that a factory of such bases was bound to."""
-    made = c.fields.where(attr("value_kind") == "Call").where(F.exists(F.array(*map(F.lit, SQL_FACTORIES)), lambda f: F.startswith(attr("value"), F.substring_index(f, ".", -1)) | F.startswith(attr("value"), f)))
-    seeds = made.select(F.col("symbol").alias("node")).union(c.spark.createDataFrame([(b,) for b in SQL_BASES], "node string"))
+    seeds = bound_to(c, SQL_FACTORIES).withColumnRenamed("symbol", "node").union(c.spark.createDataFrame([(b,) for b in SQL_BASES], "node string"))
     down = c.bases.select(F.col("base").alias("src"), F.col("symbol").alias("dst"))
     return c.classes.join(graph.reachable(down, seeds).select(F.col("node").alias("symbol")), "symbol", "left_semi")
 
@@ -178,7 +194,7 @@ view("sqlalchemy.relationships")(_fields_with_calls(sql_models, ["sqlalchemy.orm
 @view("sqlalchemy.sessions")
 def _(c):
     """Calls of session types and factories, and of names a factory was bound to."""
-    stored = c.fields.where(attr("value_kind") == "Call").where(attr("value").rlike(r"^(\w+\.)*(async_)?sessionmaker\(")).select(F.col("symbol").alias("canonical")).distinct()
+    stored = bound_to(c, SQL_MAKERS).withColumnRenamed("symbol", "canonical")
     return rows(calls_of(c, SQL_SESSIONS).unionByName(c.calls.join(stored, "canonical", "left_semi").select(*c.calls.columns)), "canonical", "owner")
 
 

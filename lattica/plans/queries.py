@@ -4,6 +4,7 @@ Facts are read out of the tables: parts are symbols with dotted names, orders an
 events are calls with states. The registered queries read the columns they need and nothing is limited or sampled.
 """
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fingerprints
 from ..operators import aggregates, graph, joins, names
 from ..storage import written
-from . import rule_cases
+from . import rule_cases, view_cases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -481,3 +482,28 @@ def location_free_digests(spark: SparkSession, sf: str) -> DataFrame:
     after = s.select("path", F.concat(F.lit("\n# moved\n"), F.when(F.col("s_suppkey") % 2 == 0, text).otherwise(text.replace("dumps", "loads"))).alias("content"))
     a, b = (semantic_digests(extract(sources_of(x))) for x in (before, after))
     return a.join(b.withColumnRenamed("digest", "other"), "module_id").select("module_id", (F.col("digest") == F.col("other")).alias("same"))
+
+
+def framework_views(framework: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        from ..sources.policy import complete
+        from .capabilities import BASE, VIEWS
+        from .facts import Catalog
+
+        forms = spark.createDataFrame(list(enumerate(view_cases.SOURCES[framework])), "n int, content string")
+        k = t(spark, sf, "supplier").select("s_suppkey", F.pmod("s_suppkey", F.lit(len(view_cases.SOURCES[framework]))).cast("int").alias("n"))
+        modules = k.join(F.broadcast(forms), "n").select(F.concat(F.lit("app/m"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path"), "content")
+        catalog = Catalog(sources_of(modules), complete({}))
+        shown = []
+        for name in sorted(v for v in VIEWS if v.startswith(f"{framework}.")):
+            rows = VIEWS[name](catalog)
+            own = [c for c in rows.columns if c not in (*BASE, "symbol", "confidence", "response_model")]
+            shown.append(rows.select("module_id", F.lit(name).alias("shown_by"), "symbol", F.to_json(F.struct(*own)).alias("own")))
+        return functools.reduce(DataFrame.unionAll, shown)
+
+    run.__name__, run.__doc__ = f"{framework}_views", f"All {framework} views of modules that use it, in two ways, and of modules that only seem to."
+    return run
+
+
+for _framework in view_cases.SOURCES:
+    query(view_cases.sql(_framework))(framework_views(_framework))
