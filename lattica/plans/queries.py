@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fingerprints
 from ..operators import aggregates, graph, joins, names
 from ..storage import written
-from . import rule_cases, view_cases
+from . import fact_cases, rule_cases, view_cases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -490,10 +490,7 @@ def framework_views(framework: str) -> Query:
         from .capabilities import BASE, VIEWS
         from .facts import Catalog
 
-        forms = spark.createDataFrame(list(enumerate(view_cases.SOURCES[framework])), "n int, content string")
-        k = t(spark, sf, "supplier").select("s_suppkey", F.pmod("s_suppkey", F.lit(len(view_cases.SOURCES[framework]))).cast("int").alias("n"))
-        modules = k.join(F.broadcast(forms), "n").select(F.concat(F.lit("app/m"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path"), "content")
-        catalog = Catalog(sources_of(modules), complete({}))
+        catalog = Catalog(supplier_modules(spark, sf, view_cases.SOURCES[framework]), complete({}))
         shown = []
         for name in sorted(v for v in VIEWS if v.startswith(f"{framework}.")):
             rows = VIEWS[name](catalog)
@@ -507,3 +504,28 @@ def framework_views(framework: str) -> Query:
 
 for _framework in view_cases.SOURCES:
     query(view_cases.sql(_framework))(framework_views(_framework))
+
+
+def supplier_modules(spark: SparkSession, sf: str, forms: list[str]) -> DataFrame:
+    """Sources with a module for each supplier, of the form that its key falls on."""
+    texts = spark.createDataFrame(list(enumerate(forms)), "n int, content string")
+    k = t(spark, sf, "supplier").select("s_suppkey", F.pmod("s_suppkey", F.lit(len(forms))).cast("int").alias("n"))
+    return sources_of(k.join(F.broadcast(texts), "n").select(F.concat(F.lit("app/m"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path"), "content"))
+
+
+@query(fact_cases.sql())
+def extracted_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Imports, definitions, decorators, fields and calls of modules, with what their names stand for, and failures."""
+    from ..sources.extract import extract
+
+    facts = extract(supplier_modules(spark, sf, fact_cases.SOURCES)).where("kind NOT IN ('binding', 'reference')")
+    return facts.select("module_id", "line", F.col("column").alias("place"), "kind", F.coalesce("symbol", "name").alias("symbol"), "state", F.array_join("candidates", ",").alias("candidates"), "owner", "guard", "phase")
+
+
+@query(fact_cases.comments_sql())
+def inline_directives(spark: SparkSession, sf: str) -> DataFrame:
+    """Ignores in comments, and the issues of malformed and unknown ones."""
+    from ..sources.policy import RULES
+    from ..sources.scan import inline_ignores
+
+    return inline_ignores(supplier_modules(spark, sf, [f"\n{text}\n" for text, _, _ in fact_cases.COMMENTS]), list(RULES))

@@ -391,9 +391,9 @@ def module_facts(module: str, path: str, package: bool, content: str) -> list[di
     try:
         return Facts(module, path, package, ast.parse(content)).rows
     except SyntaxError as e:
-        return [empty | {"name": "PARSE_FAILURE", "line": (e.lineno or 1) - 1, "column": e.offset or 0, "attrs": {"message": str(e.msg)}}]
-    except (ValueError, RecursionError) as e:
-        return [empty | {"name": "ANALYSIS_FAILURE", "line": 0, "column": 0, "attrs": {"message": str(e)}}]
+        return [empty | {"name": "PY_PARSE_001", "line": (e.lineno or 1) - 1, "column": max((e.offset or 1) - 1, 0), "attrs": {"message": str(e.msg)}}]
+    except Exception as e:  # one odd file is an issue of the report, not the end of the run
+        return [empty | {"name": "PY_ANALYSIS_001", "line": 0, "column": 0, "attrs": {"message": f"{type(e).__name__}: {e}"}}]
 
 
 def extract(sources: DataFrame) -> DataFrame:
