@@ -529,3 +529,37 @@ def inline_directives(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.scan import inline_ignores
 
     return inline_ignores(supplier_modules(spark, sf, [f"\n{text}\n" for text, _, _ in fact_cases.COMMENTS]), list(RULES))
+
+
+FILES = """f AS (SELECT p_partkey AS k, p_partkey % 8 AS n, CASE p_partkey % 8 WHEN 0 THEN 'src/app/m' || p_partkey || '.py' WHEN 1 THEN 'src/app/m' || (p_partkey - 1) || '.pyi' WHEN 2 THEN 'src/.venv/m' || p_partkey || '.py'
+  WHEN 3 THEN 'src/gen/m' || p_partkey || '.py' WHEN 4 THEN 'src/gen/keep' || p_partkey || '.py' WHEN 5 THEN 'src/plug/m' || p_partkey || '.py' WHEN 6 THEN 'docs/m' || p_partkey || '.py' ELSE 'src/app/odd' || p_partkey || '.py' END AS path FROM part)"""
+
+
+def part_files(spark: SparkSession, sf: str) -> DataFrame:
+    """path, content: a file for each part, that is a source, a stub beside one, ignored, excluded, included by force,
+    below a nested source root, outside of all, or no UTF-8."""
+    k = F.col("p_partkey").cast("string")
+    forms = [("src/app/m", k, ".py"), ("src/app/m", (F.col("p_partkey") - 1).cast("string"), ".pyi"), ("src/.venv/m", k, ".py"), ("src/gen/m", k, ".py"), ("src/gen/keep", k, ".py"), ("src/plug/m", k, ".py"), ("docs/m", k, ".py"), ("src/app/odd", k, ".py")]
+    form = F.pmod("p_partkey", F.lit(len(forms)))
+    path = F.coalesce(*[F.when(form == n, F.concat(F.lit(a), key, F.lit(b))) for n, (a, key, b) in enumerate(forms)])
+    content = F.when(form == 7, F.unhex(F.lit("78FF"))).otherwise(F.concat(F.lit("x = "), k, F.lit("\n")).cast("binary"))
+    return t(spark, sf, "part").select(path.alias("path"), content.alias("content"))
+
+
+def scanned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    from ..sources.scan import place
+
+    return place(part_files(spark, sf), ["src", "src/plug"], exclude=["src/gen/*"], force_include=["src/gen/keep*"])
+
+
+@query(f"""WITH {FILES} SELECT path, CASE n WHEN 0 THEN 'app.m' || k WHEN 1 THEN 'app.m' || (k - 1) WHEN 2 THEN '_venv_' || substr(sha256('.venv'), 1, 8) || '.m' || k WHEN 3 THEN 'gen.m' || k WHEN 4 THEN 'gen.keep' || k ELSE 'm' || k END AS module_id,
+CASE WHEN n IN (2, 3) THEN 'excluded' WHEN n = 1 AND EXISTS (SELECT 1 FROM f g WHERE g.n = 0 AND g.k = f.k - 1) THEN 'shadowed_stub' ELSE 'analyzed' END AS status, sha256(CASE WHEN n = 7 THEN '' ELSE 'x = ' || k || chr(10) END) AS content_hash, 1 AS line_count FROM f WHERE n < 6""")
+def source_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Files placed below source roots: stubs beside sources, exclusions, forced inclusions and nested roots."""
+    return scanned(spark, sf)[0].select("path", "module_id", "status", "content_hash", "line_count")
+
+
+@query(f"WITH {FILES} SELECT 'SOURCE_READ_FAILURE' AS code, path, 'the file is no UTF-8' AS message FROM f WHERE n = 7")
+def scan_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues of a scan: files that can't be read."""
+    return scanned(spark, sf)[1]
