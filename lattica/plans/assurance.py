@@ -37,6 +37,33 @@ def evidence(report: Report) -> DataFrame:
     return reduce(DataFrame.union, parts).distinct()
 
 
+def misplaced(report: Report) -> DataFrame:
+    """path, role, shows: modules of production whose endpoints or database models their role is not for."""
+    c = report.catalog
+    parts = [
+        VIEWS["fastapi.endpoints"](c).select("path", F.lit("endpoint").alias("shows"), F.lit("router").alias("key")),
+        sql_models(c).select("path", F.lit("SQLAlchemy model"), F.lit("model")),
+        tortoise_models(c).select("path", F.lit("Tortoise model"), F.lit("model")),
+    ]
+    fits = F.when(F.col("key") == "router", one_of("role", c.policy["code"]["router_roles"])).otherwise(one_of("role", c.policy["boundaries"]["model_roles"]))
+    placed = reduce(DataFrame.union, parts).distinct().join(c.modules.where("zone = 'prod'").select("path", "role"), "path")
+    return placed.where(~F.coalesce(fits, F.lit(False))).select("path", "role", "shows")
+
+
+def policy_symbols(policy: dict) -> list[tuple[str, str]]:
+    """(symbol, what it has to be) of the symbols that switch rules on."""
+    tx, b, code = policy["tx"], policy["boundaries"], policy["code"]
+    required = {k for k, v in policy["assurance"].get("features", {}).items() if v == "required"}
+    calls = [tx["session_providers"], tx["boundary_decorators"], tx["boundary_contexts"], b["raw_query_wrappers"], b["external_call_wrappers"], b["settings_constructors"], code["test_http_fixture_symbols"]]
+    classes = [b["adapter_implementation_symbols"], b["session_type_symbols"]]
+    values: list[list[str]] = []
+    if "schema" in required:
+        values += [code["request_config_symbols"], code["response_config_symbols"]]
+    if "exception_registry" in required:
+        classes += [code["exception_base_symbols"], code["error_code_enum_symbols"]]
+    return sorted({(s, kind) for kind, lists in (("callable", calls), ("class", classes), ("value", values)) for names in lists for s in names})
+
+
 def audit(report: Report) -> DataFrame:
     """code, subject and detail of every issue; none means that the setup is complete."""
     c, p, spark = report.catalog, report.catalog.policy, report.catalog.spark
@@ -76,12 +103,19 @@ def audit(report: Report) -> DataFrame:
     counts = used.agg(F.count_if(F.col("reason") != "inline ignore").alias("a"), F.count_if(F.col("reason") == "inline ignore").alias("i"))
     parts.append(issue(counts.where(F.col("a") > p["assurance"].get("max_approvals", 0)), "APPROVAL_BUDGET_EXCEEDED", "a"))
     parts.append(issue(counts.where(F.col("i") > p["assurance"].get("max_inline_ignores", 0)), "IGNORE_BUDGET_EXCEEDED", "i"))
-    named = sorted({s for k in ("session_providers", "boundary_decorators", "boundary_contexts") for s in p["tx"][k]} | {s for k in ("raw_query_wrappers", "external_call_wrappers", "adapter_implementation_symbols", "settings_constructors") for s in p["boundaries"][k]})
+    parts.append(issue(misplaced(report), "ROLE_SEMANTIC_MISMATCH", "path", F.concat(F.col("shows"), F.lit(" in role "), F.coalesce("role", F.lit("none")))))
+    named = policy_symbols(p)
     if named:
         roots = live.select(F.split_part("module_id", F.lit("."), F.lit(1)).alias("root")).distinct()
-        table = spark.createDataFrame([(s,) for s in named], "symbol string").withColumn("root", F.split_part("symbol", F.lit("."), F.lit(1))).join(roots, "root", "left_semi")
-        known = c.facts.where("kind IN ('function', 'class', 'field')").select("symbol").union(c.aliases.select("alias")).distinct()
-        parts.append(issue(table.join(known, "symbol", "left_anti"), "POLICY_SYMBOL_UNRESOLVED", "symbol"))
+        table = spark.createDataFrame(named, "symbol string, wanted string").withColumn("root", F.split_part("symbol", F.lit("."), F.lit(1))).join(roots, "root", "left_semi")
+        made = c.facts.where("kind IN ('function', 'class', 'field')").select("symbol", "kind")
+        used = c.facts.where("kind IN ('call', 'decorator') AND symbol IS NOT NULL").select("symbol", "kind").union(c.aliases.select("alias", F.lit("alias")))
+        kinds = made.union(used).groupBy("symbol").agg(F.collect_set("kind").alias("kinds"))
+        t = table.join(kinds, "symbol", "left")
+        parts.append(issue(t.where("kinds IS NULL").select("symbol").distinct(), "POLICY_SYMBOL_UNRESOLVED", "symbol"))
+        has = lambda *some: F.arrays_overlap("kinds", F.array(*map(F.lit, some)))
+        fits = F.when(F.col("wanted") == "class", has("class", "alias")).when(F.col("wanted") == "value", has("field", "alias")).otherwise(has("function", "class", "alias"))
+        parts.append(issue(t.where(~fits), "POLICY_SYMBOL_KIND_MISMATCH", "symbol", F.concat(F.lit("no "), F.col("wanted"))))
     return reduce(DataFrame.union, parts)
 
 
