@@ -2,8 +2,13 @@
 
 Each round is a plan of a few joins on hashed keys (HOPS steps along the edges) and one anti join; its outcome is written
 to the shared folder, so that the lineage stays short and a lost executor costs one task. Every loop ends by itself (sets only grow) or at a stated limit.
+
+Nodes with a single edge out make a function, and ways along it are doubled each round: components take the
+logarithm of its longest way, and loops go over what is left, the nodes with several edges out.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +22,64 @@ class LimitReached(RuntimeError):
     """A fixpoint needed more rounds than it was allowed."""
 
 
+def _single(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """step (node, to): the end of a node's only edge, the node itself if it has none or several; many: the edges of nodes
+    that have several. edges: each once, none from a node to itself."""
+    out = written(edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("end")))
+    nodes = out.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    step = nodes.join(out.where("n = 1"), F.col("node") == F.col("src"), "left").select("node", F.coalesce("end", "node").alias("to"))
+    return step, edges.join(out.where("n > 1"), "src", "left_semi")
+
+
+def _levels(step: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """levels, circles of a function (node, to). Level j (node, to) goes 2^j steps, from the nodes that 2^j - 1 steps lead
+    to from any node; the last one holds the nodes on circles alone. circles: node, component (its circle's smallest
+    node).
+
+    What nothing leads to falls away, so levels shrink and the work is near linear. When nothing falls away any more, steps
+    are a permutation; the smallest node of the steps gone so far is the circle's as soon as it changes nowhere."""
+    now = written(step.select("node", "to", F.col("node").alias("low")))
+    levels, count, shrinks = [now], now.count(), True
+    while True:
+        here = now.join(now.select(F.col("to").alias("node")).distinct(), "node", "left_semi") if shrinks else now
+        ahead = now.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("low").alias("other"))
+        new = written(here.join(ahead, "to").select("node", F.col("further").alias("to"), F.least("low", "other").alias("low"), (F.col("other") < F.col("low")).alias("moved")))
+        n, moved = new.agg(F.count("*"), F.bool_or("moved")).first()
+        now, shrinks, count = new.drop("moved"), n < count, n
+        if shrinks:
+            levels.append(now)
+        elif not moved:
+            return [x.select("node", "to") for x in levels], now.select("node", F.col("low").alias("component"))
+
+
+def _along(rows: DataFrame, levels: list[DataFrame], circles: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows (node, value), and for each node those of all nodes that its steps lead to. merge: makes one of rows that
+    say the same."""
+    parts = [rows]
+    for near, far in zip(levels, levels[1:]):
+        last = parts[-1].withColumnRenamed("node", "to")
+        nodes = far.select("node")
+        parts.append(written(merge(parts[-1].join(nodes, "node", "left_semi").union(near.join(nodes, "node", "left_semi").join(last, "to").select("node", "value")))))
+    round_ = merge(parts[-1].join(circles, "node").select(F.col("component").alias("node"), "value")).withColumnRenamed("node", "component")
+    found = written(circles.join(round_, "component").select("node", "value"))
+    for part, near, far in zip(parts[-2::-1], levels[-2::-1], levels[:0:-1]):
+        nodes = far.select("node")
+        ahead = near.join(nodes, "node", "left_anti").join(found.withColumnRenamed("node", "to"), "to").select("node", "value")
+        found = found.union(written(merge(part.join(nodes, "node", "left_anti").union(ahead))))
+    return found if len(levels) > 1 else found.union(rows.join(levels[0].select("node"), "node", "left_anti"))
+
+
+def _onward(seeds: DataFrame, step: DataFrame) -> DataFrame:
+    """node: the seeds and all that steps lead to from them."""
+    known, now, before = written(seeds.select("node").distinct()), step, -1
+    while before != (n := known.count()):
+        before = n
+        now = written(now)
+        known = written(known.union(now.join(known, "node", "left_semi").select("to")).distinct())
+        now = now.join(now.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to"))
+    return known
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """node: the seeds (column node) and all that edges (src, dst) lead to from them. Each node enters the frontier once,
     so the work is linear in the edges."""
@@ -57,12 +120,36 @@ def scc(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """node, component (its smallest node): the strongly connected components of edges (src, dst) that have a cycle; a
     node with an edge to itself is one.
 
+    Circles of nodes with a single edge are components. Other nodes with a single edge are drawn into the root it leads to:
+    they belong to its component if an edge from inside leads to them or to a node behind them. Roots are left to
+    _coloured().
+    """
+    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    step, many = _single(written(edges.select("src", "dst").where("src <> dst").distinct()))
+    levels, circles = _levels(step)
+    found = circles.join(levels[0].where("node <> to"), "node", "left_semi")
+    if not many.isEmpty():
+        roots = written(_along(levels[0].where("node = to").select("node", F.col("node").alias("value")), levels, circles, DataFrame.distinct)).select("node", F.col("value").alias("root"))
+        core = written(many.join(roots, F.col("dst") == F.col("node")).select("src", "dst", "root"))
+        parts = _coloured(core.where("src <> root").select("src", F.col("root").alias("dst")).distinct(), max_rounds)
+        parts = written(parts.union(core.where("src = root").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct().join(parts, "node", "left_anti")))
+        part = lambda key: parts.select(F.col("node").alias(key), F.col("component").alias(f"{key}_part"))
+        entries = core.join(part("src"), "src").join(part("root"), "root").where("src_part = root_part").select(F.col("dst").alias("node"))
+        inside = _onward(entries, levels[0]).join(roots, "node").join(part("root"), "root").select("node", F.col("root_part").alias("part"))
+        inside = written(inside.union(parts.select("node", "component")).distinct())
+        least = inside.groupBy("part").agg(F.min("node").alias("component"))
+        found = found.union(inside.join(least, "part").select("node", "component"))
+    return found.union(loops.join(found, "node", "left_anti"))
+
+
+def _coloured(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """node, component: the components of two nodes or more, of edges between different nodes.
+
     Rounds of trimming, colouring and walking back: nodes without edges in or out are cut off; each node takes the
     smallest node that reaches it as its colour; what reaches a colour's own node inside the colour is its component.
     """
-    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
-    left = written(edges.select("src", "dst").where("src <> dst").distinct())
-    found = None
+    left = written(edges)
+    found = edges.limit(0).select(F.col("src").alias("node"), F.col("dst").alias("component"))
     for _ in range(max_rounds):
         before = None
         while before != (now := left.count()):  # trim
@@ -91,12 +178,12 @@ def scc(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         members = reachable(inside, colour.where("node = c").select("node")).join(colour, "node").select("node", F.col("c").alias("component"))
         sized = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
         part = written(members.join(sized, "component", "left_semi").select("node", "component"))
-        found = part if found is None else found.union(part)
+        found = found.union(part)
         gone = members.select(F.col("node").alias("n"))
         left = written(left.join(gone, F.col("src") == F.col("n"), "left_anti").join(gone, F.col("dst") == F.col("n"), "left_anti"))
     else:
         raise LimitReached(f"scc: {max_rounds} rounds")
-    return loops if found is None else found.union(loops.join(found, "node", "left_anti"))
+    return found
 
 
 def alias_chase(aliases: DataFrame) -> DataFrame:

@@ -64,3 +64,58 @@ def test_saturating_counts_paths_and_stops_at_two(spark):
 def test_alias_chains_in_a_circle_claim_nothing(spark):
     rows = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")]
     assert set(map(tuple, graph.alias_chase(spark.createDataFrame(rows, "alias string, target string")).collect())) == {("a", "c"), ("b", "c")}
+
+
+def mostly_single(seed):
+    """A function on some nodes, with a few more edges."""
+    r = random.Random(seed)
+    n = r.choice([6, 14, 30])
+    more = [(r.randrange(n), r.randrange(n)) for _ in range(r.choice([0, 1, n // 5, n]))]
+    return sorted({(k, r.randrange(n)) for k in range(n) if r.random() < 0.9} | set(more))
+
+
+def first_shortest(edges, start, inside):
+    out = defaultdict(list)
+    for a, b in edges:
+        if a in inside and b in inside:
+            out[a].append(b)
+    paths = [[start]]
+    while True:
+        paths = [[*p, b] for p in paths for b in out[p[-1]]]
+        if ended := [p for p in paths if p[-1] == start]:
+            return min(ended)
+        paths = list({p[-1]: p for p in sorted(paths, reverse=True)}.values())
+
+
+@pytest.mark.parametrize("seed", [0, 4])
+def test_single_and_several_edges_against_brute_force(spark, seed):
+    edges = mostly_single(seed)
+    df, r = make(spark, edges), reach(edges)
+    cyc = {n: min(m for m in r[n] if n in r[m]) for n in r if n in r[n]}
+    comps = graph.scc(df)
+    assert sorted(map(tuple, comps.collect())) == sorted(cyc.items())
+    inside = {c: {n for n in cyc if cyc[n] == c} for c in cyc.values()}
+    assert {x.component: x.path for x in graph.cycle_witness(df, comps).collect()} == {c: first_shortest(edges, c, inside[c]) for c in inside}
+    own = [(n, f"v{n % 7}") for n in r if n % 3 == 0] + [(1000, "alone"), (None, "none")]
+    want = {(n, v) for n in [*r, 1000, None] for m, v in own if m == n or m in r.get(n, ())}
+    assert sorted(map(repr, map(tuple, graph.set_fixpoint(spark.createDataFrame(own, "node long, value string"), df).collect()))) == sorted(map(repr, want))
+    base = spark.createDataFrame([(n, 1 << n) for n in r if n % 3 == 0], "node long, mask long")
+    masks = graph.mask_fixpoint(base, df).collect()
+    assert sorted(map(tuple, masks)) == sorted((n, sum(1 << m for m in r[n] | {n} if m % 3 == 0)) for n in r)
+
+
+@pytest.fixture
+def tables(monkeypatch):
+    """The tables that operators have written."""
+    made, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: made.append(1) or write(df))
+    return made
+
+
+#: A way of 150 steps into a circle of 200.
+LONG = [(k, k - 1) for k in range(200, 350)] + [(k, (k + 1) % 200) for k in range(199)] + [(199, 0)]
+
+
+def test_components_of_long_ways_take_few_rounds(spark, tables):
+    assert sorted(map(tuple, graph.scc(make(spark, LONG)).collect())) == [(k, 0) for k in range(200)]
+    assert len(tables) <= 20
