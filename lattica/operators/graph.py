@@ -283,10 +283,17 @@ def impact(changed: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame
 
 def cycle_witness(edges: DataFrame, components: DataFrame) -> DataFrame:
     """component, path: for each component a shortest cycle through its smallest node, as an array that begins and ends
-    there; of several the first in order. Breadth-first, all components at once."""
+    there; of several the first in order. Components that are mere circles are put in order by doubled ways back to the
+    smallest node, all others are searched breadth-first at once."""
     inner = edges.select("src", "dst").distinct().join(components.select(F.col("node").alias("src"), "component"), "src").join(components.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2").select("component", "src", "dst")
     inner = written(inner)
-    start = written(components.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("path")))
+    several = inner.groupBy("component", "src").agg(F.count("*").alias("n")).where("n > 1").select("component").distinct()
+    several = written(several)
+    circles = _circle_paths(inner.join(several, "component", "left_anti"))
+    if several.isEmpty():
+        return circles
+    inner = inner.join(several, "component", "left_semi")
+    start = written(several.select("component", F.col("component").alias("node"), F.array("component").alias("path")))
     done, seen, now = None, start.select("component", "node"), start
 
     def further(paths: DataFrame) -> DataFrame:
@@ -309,4 +316,16 @@ def cycle_witness(edges: DataFrame, components: DataFrame) -> DataFrame:
         done, seen = ended if done is None else done.union(ended), seen.union(open_.select("component", "node"))
         if step % UNION == 0:
             done, seen, now = written(done), written(seen), written(now)
-    return done if done is not None else start.select("component", "path")
+    return circles.union(done)
+
+
+def _circle_paths(inner: DataFrame) -> DataFrame:
+    """component, path of circles given by their edges (component, src, dst)."""
+    first = F.col("dst") == F.col("component")
+    now = written(inner.select("component", F.col("dst").alias("node"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("place")))
+    while not (open_ := now.where("to <> component")).isEmpty():
+        ahead = now.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("place").alias("more"))
+        moved = open_.join(ahead, "to").select("component", "node", F.col("further").alias("to"), (F.col("place") + F.col("more")).alias("place"))
+        now = written(moved.union(now.where("to = component")))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "node")))["node"]
+    return now.groupBy("component").agg(F.concat(ordered, F.array(F.first("component"))).alias("path"))

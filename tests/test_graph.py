@@ -119,3 +119,9 @@ LONG = [(k, k - 1) for k in range(200, 350)] + [(k, (k + 1) % 200) for k in rang
 def test_components_of_long_ways_take_few_rounds(spark, tables):
     assert sorted(map(tuple, graph.scc(make(spark, LONG)).collect())) == [(k, 0) for k in range(200)]
     assert len(tables) <= 20
+
+
+def test_witness_of_a_long_circle_takes_few_rounds(spark, tables):
+    circle = spark.createDataFrame([(k, 0) for k in range(200)], "node long, component long")
+    assert [r.path for r in graph.cycle_witness(make(spark, LONG), circle).collect()] == [[*range(200), 0]]
+    assert len(tables) <= 20
