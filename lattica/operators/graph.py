@@ -3,8 +3,8 @@
 Each round is a plan of a few joins on hashed keys (HOPS steps along the edges) and one anti join; its outcome is written
 to the shared folder, so that the lineage stays short and a lost executor costs one task. Every loop ends by itself (sets only grow) or at a stated limit.
 
-Nodes with a single edge out make a function, and ways along it are doubled each round: components take the
-logarithm of its longest way, and loops go over what is left, the nodes with several edges out.
+Nodes with a single edge out make a function, and ways along it are doubled each round: components and the set
+fixpoint take the logarithm of its longest way, and loops go over what is left, the nodes with several edges out.
 """
 
 from collections.abc import Callable
@@ -80,6 +80,23 @@ def _onward(seeds: DataFrame, step: DataFrame) -> DataFrame:
     return known
 
 
+def _fixpoint(rows: DataFrame, steps: DataFrame, merge: Callable[[DataFrame], DataFrame], rounds: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """rows (node, value) handed up along steps (src has those of dst): along single edges by doubling, and between nodes
+    with several edges by rounds, each of them offered what lies on the single edges behind its own."""
+    step, many = _single(steps)
+    levels, circles = _levels(step)
+    found = _along(rows, levels, circles, merge)
+    if many.isEmpty():
+        return found
+    # ways along single edges end in a circle or at a root
+    roots = written(_along(levels[0].where("node = to").select("node", F.col("node").alias("value")), levels, circles, DataFrame.distinct)).select("node", F.col("value").alias("root"))
+    own = rows.join(many.select(F.col("src").alias("node")), "node", "left_semi")
+    offered = many.join(found, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "value")
+    core = many.join(roots, F.col("dst") == F.col("node")).where("src <> root").select("src", F.col("root").alias("dst")).distinct()
+    far = rounds(merge(own.union(offered)), written(core)).withColumnRenamed("node", "root")
+    return merge(found.union(roots.join(far, "root").select("node", "value")))
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """node: the seeds (column node) and all that edges (src, dst) lead to from them. Each node enters the frontier once,
     so the work is linear in the edges."""
@@ -201,10 +218,14 @@ def alias_chase(aliases: DataFrame) -> DataFrame:
 
 
 def set_fixpoint(base: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, value: the pairs of base, and for each edge (src, dst) src has all values of dst. Pairs that are new feed the
-    next round."""
+    """node, value: the pairs of base, and for each edge (src, dst) src has all values of dst."""
     steps = written(edges.select("src", "dst").where("src <> dst").distinct())
-    known = delta = written(base.select("node", "value").distinct())
+    return _fixpoint(written(base.select("node", "value").distinct()), steps, DataFrame.distinct, _set_rounds)
+
+
+def _set_rounds(base: DataFrame, steps: DataFrame) -> DataFrame:
+    """Pairs that are new feed the next round."""
+    known = delta = written(base)
     step = 0
     while True:
         step += 1

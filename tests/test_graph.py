@@ -125,3 +125,10 @@ def test_witness_of_a_long_circle_takes_few_rounds(spark, tables):
     circle = spark.createDataFrame([(k, 0) for k in range(200)], "node long, component long")
     assert [r.path for r in graph.cycle_witness(make(spark, LONG), circle).collect()] == [[*range(200), 0]]
     assert len(tables) <= 20
+
+
+def test_sets_of_long_ways_take_few_rounds(spark, tables):
+    base = spark.createDataFrame([(5, "a"), (300, "b")], "node long, value string")
+    got = sorted(map(tuple, graph.set_fixpoint(base, make(spark, LONG)).collect()))
+    assert got == sorted([(k, "a") for k in range(350)] + [(k, "b") for k in range(300, 350)])
+    assert len(tables) <= 36
