@@ -3,8 +3,8 @@
 Each round is a plan of a few joins on hashed keys (HOPS steps along the edges) and one anti join; its outcome is written
 to the shared folder, so that the lineage stays short and a lost executor costs one task. Every loop ends by itself (sets only grow) or at a stated limit.
 
-Nodes with a single edge out make a function, and ways along it are doubled each round: components and the set
-fixpoint take the logarithm of its longest way, and loops go over what is left, the nodes with several edges out.
+Nodes with a single edge out make a function, and ways along it are doubled each round: components and the set and mask
+fixpoints take the logarithm of its longest way, and loops go over what is left, the nodes with several edges out.
 """
 
 from collections.abc import Callable
@@ -241,19 +241,25 @@ def _set_rounds(base: DataFrame, steps: DataFrame) -> DataFrame:
 
 def mask_fixpoint(base: DataFrame, edges: DataFrame) -> DataFrame:
     """node, mask: the mask of base (0 where it has none) joined by bitwise or with those of all nodes that edges
-    (src, dst) lead to. Only nodes whose mask grew feed the next round, and masks of 64 bits grow at most 64 times."""
+    (src, dst) lead to; each node of base and edges once."""
     steps = written(edges.select("src", "dst").where("src <> dst").distinct())
-    nodes = base.select("node").union(steps.select("src")).union(steps.select("dst")).distinct()
-    known = written(nodes.join(base.groupBy("node").agg(F.bit_or("mask").alias("mask")), "node", "left").select("node", F.coalesce("mask", F.lit(0)).cast("long").alias("mask")))
-    delta = known.where("mask <> 0")
+    nodes = base.select("node").union(edges.select("src")).union(edges.select("dst")).distinct()
+    joined = lambda rows: rows.groupBy("node").agg(F.bit_or("value").alias("value"))
+    rows = written(joined(base.where("mask <> 0").select("node", F.col("mask").cast("long").alias("value"))))
+    return nodes.join(_fixpoint(rows, steps, joined, _mask_rounds), "node", "left").select("node", F.coalesce("value", F.lit(0)).cast("long").alias("mask"))
+
+
+def _mask_rounds(base: DataFrame, steps: DataFrame) -> DataFrame:
+    """Only nodes whose mask grew feed the next round, and masks of 64 bits grow at most 64 times."""
+    known = delta = written(base)
     while True:
         ahead, offered = delta, None
         for _ in range(HOPS):
-            ahead = ahead.join(steps, F.col("node") == F.col("dst")).groupBy(F.col("src").alias("node")).agg(F.bit_or("mask").alias("mask"))
+            ahead = ahead.join(steps, F.col("node") == F.col("dst")).groupBy(F.col("src").alias("node")).agg(F.bit_or("value").alias("value"))
             offered = ahead if offered is None else offered.union(ahead)
-        offered = offered.groupBy("node").agg(F.bit_or("mask").alias("o"))
-        both = written(known.join(offered, "node", "left").select("node", F.col("mask").bitwiseOR(F.coalesce("o", F.lit(0).cast("long"))).alias("mask"), F.col("mask").alias("old")))
-        known, delta = both.select("node", "mask"), both.where("mask <> old").select("node", "mask")
+        offered = offered.groupBy("node").agg(F.bit_or("value").alias("o"))
+        both = written(known.join(offered, "node", "full").select("node", F.coalesce("value", F.lit(0)).bitwiseOR(F.coalesce("o", F.lit(0).cast("long"))).alias("value"), F.coalesce("value", F.lit(0)).alias("old")))
+        known, delta = both.select("node", "value"), both.where("value <> old").select("node", "value")
         if delta.isEmpty():
             return known
 

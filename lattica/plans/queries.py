@@ -209,8 +209,11 @@ def fixture_approvals(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey AS node, coalesce(bit_or(mask), 0)::BIGINT AS mask FROM part LEFT JOIN r ON r.node = p_partkey GROUP BY p_partkey""")
 def effect_summaries(spark: SparkSession, sf: str) -> DataFrame:
     """Effects as bit masks, joined over all that a node leads to."""
-    base = t(spark, sf, "part").where("p_size < 8").select(F.col("p_partkey").alias("node"), F.expr("shiftleft(1L, p_size % 8)").alias("mask"))
-    return graph.mask_fixpoint(base, part_edges(spark, sf))
+    part = t(spark, sf, "part")
+    base = part.where("p_size < 8").select(F.col("p_partkey").alias("node"), F.expr("shiftleft(1L, p_size % 8)").alias("mask"))
+    # each part, those without edges too, and no ends of edges that are no parts
+    masks = graph.mask_fixpoint(base, part_edges(spark, sf))
+    return part.select(F.col("p_partkey").alias("node")).distinct().join(masks, "node", "left").select("node", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS w FROM orders), c AS (SELECT c_custkey, c_nationkey, least(coalesce(sum(w), 0), 2) AS w FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY ALL),
